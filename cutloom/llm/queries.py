@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import fingerprints, line_dedup, mixing, packing, secrets
-from cutloom.llm.common import shared_dir, table
+from cutloom.llm import fingerprints, langid, line_dedup, lm_scoring, media, mixing, packing, quality, secrets
+from cutloom.llm.common import id_remainder, shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,12 +54,28 @@ FROM marked GROUP BY doc_id, rn
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    named = langid.identify(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+    return named.select("doc_id", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     chosen = mixing.copies(docs, weights=(5, 2, 1), cap=3.0, stage_at=f"{shared_dir(spark)}/sized")
     return chosen.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("n_copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), modulus=7, held_out=2)
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), shared_dir(spark))
 
@@ -64,7 +85,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op6_source_mixing, op9_document_fingerprints, op10_secret_scan)}
+    found = (
+        op1_quality_classifier, op2_best_fit_packing, op3_line_dedup, op4_language_id, op5_media_columns,
+        op6_source_mixing, op7_lm_scoring, op9_document_fingerprints, op10_secret_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,9 +34,9 @@ UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def profiles(texts: Sequence[str]) -> np.ndarray:
+def profiles(texts: Sequence[str], bits: int = BITS) -> np.ndarray:
     """Unit-length rows of hashed bigram and trigram counts. Texts are folded together in blocks."""
-    half = 1 << (BITS - 1)
+    half = 1 << (bits - 1)
     out = np.zeros((len(texts), 2 * half), np.float32)
     start = 0
     while start < len(texts):
@@ -49,7 +49,7 @@ def profiles(texts: Sequence[str]) -> np.ndarray:
         owner = np.repeat(np.arange(end - start), [len(t) for t in lower]) * (2 * half)
         pair = codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)
         triple = pair[:-1] * np.uint32(0xC2B2AE3D) + codes[2:] * np.uint32(0x27D4EB2F)
-        shift = np.uint32(32 - BITS + 1)
+        shift = np.uint32(32 - bits + 1)
         at = np.concatenate([owner[:-1][owner[:-1] == owner[1:]] + (pair >> shift)[owner[:-1] == owner[1:]], owner[:-2][owner[:-2] == owner[2:]] + half + (triple >> shift)[owner[:-2] == owner[2:]]])
         out[start:end] = np.bincount(at, minlength=(end - start) * 2 * half).reshape(end - start, -1)
         start = end

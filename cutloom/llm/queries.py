@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import fingerprints, langid, line_dedup, lm_scoring, media, mixing, packing, quality, secrets
+from cutloom.llm import fingerprints, jaccard_join, langid, line_dedup, lm_scoring, media, mixing, packing, quality, secrets
 from cutloom.llm.common import id_remainder, shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -76,6 +76,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), modulus=7, held_out=2)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), shared_dir(spark))
 
@@ -87,7 +91,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier, op2_best_fit_packing, op3_line_dedup, op4_language_id, op5_media_columns,
-        op6_source_mixing, op7_lm_scoring, op9_document_fingerprints, op10_secret_scan,
+        op6_source_mixing, op7_lm_scoring, op8_jaccard_join, op9_document_fingerprints, op10_secret_scan,
     )
     return {f.__name__: f for f in found}
 

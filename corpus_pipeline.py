@@ -1,3 +1,61 @@
-STAGES = []
+"""The corpus pipeline: language ID, line dedup, near duplicates, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cutloom.llm import jaccard_join, langid, line_dedup, mixing, packing
+from cutloom.llm.common import drop_folder, shared_dir, staged, table
+from cutloom.llm.queries import tokenizer_path
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no text, no letters) go."""
+    return langid.keep_identified(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in at least ten documents go; documents stay."""
+    return line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (word 5-grams, similarity 0.8) stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: weights 5, 2, 1, at most three times."""
+    return mixing.mix(docs, weights=(5, 2, 1), cap=3.0)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 4096 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Trained models and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, at = table(spark, sf_dir, "documents"), shared_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"{at}/{k}-{name}")
+            if k:
+                drop_folder(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
+    return docs

@@ -13,7 +13,7 @@ into clusters (components of the trie nodes at that depth), never into pairs.
 Verification is exact and whole: within a cluster every two texts are compared on their gram sets.
 A cluster is cut into blocks of ``BLOCK`` texts; each pair of blocks is one task, which counts shared
 grams by a matrix product over the grams that many texts of the block hold and by their postings
-for the others. A task gives a number of links per text and a spanning forest of the links, not the
+for the others. A task gives per text its number of links and one text it is joined to by links, not the
 links themselves, so what moves grows with the texts and not with their pairs.
 
 Copies: rows of equal text are one class and are compared once. ``n_links`` is the number of other
@@ -32,7 +32,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.llm.common import shared_dir, staged
@@ -182,40 +182,31 @@ def count_links(left: Sequence[np.ndarray], right: Sequence[np.ndarray], same: b
     return np.triu(linked, 1) if same else linked
 
 
-def spanning_forest(n: int, edges: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (by rows) that join all that ``edges`` join."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b in edges.tolist():
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
-def _forest_of(linked: np.ndarray, offset: int) -> list[tuple[int, int]]:
-    """A spanning forest of a block pair's links; columns are numbered from ``offset``."""
-    rows, cols = np.nonzero(linked)
-    if not len(rows):
-        return []
-    # A row's links go through its first column, which keeps the union-find short.
-    return spanning_forest(linked.shape[1] + offset, np.stack([rows, cols + offset], 1))
+def component_roots(linked: np.ndarray, same: bool) -> np.ndarray:
+    """For the rows and then, unless ``same``, the columns: the first of the nodes that links join to it."""
+    n, m = linked.shape
+    if same:
+        linked = linked | linked.T
+    roots = np.arange(n if same else n + m, dtype=np.int32)
+    far = np.int32(len(roots))
+    while True:
+        new = roots.copy()
+        columns = new if same else new[n:]
+        np.minimum(new[:n], np.where(linked, columns[None, :], far).min(1, initial=far), out=new[:n])
+        if not same:
+            np.minimum(new[n:], np.where(linked, new[:n, None], far).min(0, initial=far), out=new[n:])
+        new = new[new]
+        if (new == roots).all():
+            return roots
+        roots = new
 
 
 def compare(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``texts`` (cluster, pair, side, class_no, copies, text) -> class_no, n_texts, n_links, to, per block pair.
+    """``texts`` (cluster, pair, side, class_no, copies, text) -> class_no, n_texts, n_links, joined_to, per block pair.
 
     Rows must come sorted by cluster and pair within their partition; one pair of blocks is held at a time.
     """
-    schema = "class_no long, n_texts long, n_links long, to array<long>"
+    schema = "class_no long, n_texts long, n_links long, joined_to long"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -234,13 +225,11 @@ def compare(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             n_links[: len(left)] += linked @ copies[1]
             n_texts[offset : offset + len(sides[1])] += linked.sum(0)
             n_links[offset : offset + len(sides[1])] += linked.T @ copies[0]
-            to: dict[int, list[int]] = {}
-            for a, b in _forest_of(linked, offset):
-                to.setdefault(a, []).append(nodes[b])
+            roots = component_roots(linked, same)
             keep = np.flatnonzero(n_texts).tolist()
             return pa.RecordBatch.from_arrays(
-                [pa.array([nodes[k] for k in keep], pa.int64()), pa.array(n_texts[keep]), pa.array(n_links[keep]), pa.array([to.get(k, []) for k in keep], pa.list_(pa.int64()))],
-                names=["class_no", "n_texts", "n_links", "to"],
+                [pa.array([nodes[k] for k in keep], pa.int64()), pa.array(n_texts[keep]), pa.array(n_links[keep]), pa.array([nodes[roots[k]] for k in keep], pa.int64())],
+                names=["class_no", "n_texts", "n_links", "joined_to"],
             )
 
         for batch in batches:
@@ -257,31 +246,54 @@ def compare(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return texts.mapInArrow(verify, schema)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id (least id of the component of linked documents), copy_id (least id of equal text), n_texts, n_links."""
+def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
+    """Staged (doc_id, digest) of the documents, and per distinct text: digest, copies, copy_id, group, n_texts, n_links.
+
+    ``group`` is null for a text that is linked to no other.
+    """
     spark = docs.sparkSession
     at = shared_dir(spark)
     signed = staged(signatures(docs), f"{at}/signed")
     classes = signed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"), F.first("paths").alias("paths"), F.first("n_grams").alias("n_grams"))
     classes = staged(classes.withColumn("class_no", F.monotonically_increasing_id()), f"{at}/classes")
-
     edges = candidate_edges(classes, depth_for(threshold, target), f"{at}/forest")
     clusters = staged(components(edges, f"{at}/candidates"), f"{at}/clusters")
-
     compared = staged(compare(_blocks(docs, classes, clusters), threshold), f"{at}/compared")
     links = compared.groupBy("class_no").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
-    linked = staged(components(compared.select(F.col("class_no").alias("a"), F.explode("to").alias("b")), f"{at}/links"), f"{at}/linked")
-
-    named = classes.select("class_no", "digest", "copies", "copy_id")
-    roots = linked.join(named.select(F.col("class_no").alias("node"), "copy_id"), "node").groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    member = linked.join(roots, "root").select(F.col("node").alias("class_no"), "class_id")
-    whole = named.join(member, "class_no", "left").join(links, "class_no", "left")
-    whole = whole.select(
-        "digest", "copy_id", F.when(F.col("class_id").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"),
+    linked = staged(components(compared.select(F.col("class_no").alias("a"), F.col("joined_to").alias("b")), f"{at}/links"), f"{at}/linked")
+    found = classes.select("class_no", "digest", "copies", "copy_id").join(linked.select(F.col("node").alias("class_no"), F.col("root").alias("group")), "class_no", "left")
+    return signed.select("doc_id", "digest"), found.join(links, "class_no", "left").drop("class_no")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, class_id (least id of the group of linked documents), copy_id (least id of equal text), n_texts, n_links."""
+    signed, classes = classes_of(docs, threshold, target)
+    least = classes.where("group IS NOT NULL").groupBy("group").agg(F.min("copy_id").alias("least"))
+    whole = classes.join(least, "group", "left").select(
+        "digest", "copy_id", F.when(F.col("group").isNull(), F.col("copy_id")).otherwise(F.col("least")).alias("class_id"),
         F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
     )
-    return signed.select("doc_id", "digest").join(whole, "digest").select("doc_id", "class_id", "copy_id", "n_texts", "n_links")
+    return signed.join(whole, "digest").select("doc_id", "class_id", "copy_id", "n_texts", "n_links")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """The documents, one of each group: the one of least id (null last), of its rows one. Rows are unchanged."""
+    _, classes = classes_of(docs, threshold, target)
+    first = F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "digest")).alias("first")
+    alone = classes.where("group IS NULL").select("digest", "copy_id")
+    kept = classes.where("group IS NOT NULL").groupBy("group").agg(first).select("first.digest", "first.copy_id").unionAll(alone)
+    named = lambda doc_id: (F.col(doc_id).isNull().alias("id_null"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id_key"))
+    kept = kept.select(*named("copy_id"), "digest")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named("doc_id"), _digest("text").alias("digest"))
+    key = ["id_null", "id_key", "digest"]
+    # The join and the window share one partitioning, so the texts are shuffled once.
+    found = rows.join(kept.hint("merge"), key).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    return found.where("nth = 1").select("row.*")
+
+
+def _digest(text: str) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)), 1, 16)
 
 
 def candidate_edges(classes: DataFrame, depth: int, at: str) -> DataFrame:
@@ -332,8 +344,7 @@ def _blocks(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFra
     member = clusters.join(size, "root").select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), blocks.alias("blocks"))
     member = member.withColumn("block", F.pmod(F.xxhash64("class_no"), F.col("blocks")).cast("int"))
     wanted = classes.select("class_no", "digest", "copies", "copy_id").join(member, "class_no")
-    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = text.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest("text").alias("digest"))
     wanted = wanted.withColumnRenamed("digest", "of_digest")
     found = text.join(wanted, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("copy_id")))
     low, high = F.least("block", "other"), F.greatest("block", "other")

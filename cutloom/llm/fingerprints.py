@@ -116,13 +116,13 @@ def edited_fingerprints(docs: DataFrame, stage_at: str, doc_id: str = "doc_id",
 
     The edited text of a document has its last ``n_chars // 4`` code points replaced by the first
     as many of the next document in ascending id (null ids first, the first document follows the
-    last). Rows that repeat id and text follow each other, so each but the last has itself as next.
+    last). Ids are whole numbers. Rows that repeat id and text follow each other, so each but the last
+    has itself as next.
 
     The order is settled on (id, hash of text, length) alone: range partitions, sorted, numbered
     and staged. The texts are shuffled once, and each sends its successor's quarter to it.
     """
     keyed = docs.select(
-        F.col(doc_id).alias("doc_id"),
         F.col(doc_id).isNotNull().cast("int").alias("id_null"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id_key"),
         text_or_empty(text).alias("t"),
@@ -139,6 +139,7 @@ def edited_fingerprints(docs: DataFrame, stage_at: str, doc_id: str = "doc_id",
     before = ranked.select(((F.col("rank") + 1) % F.lit(max(total, 1))).alias("rank"), *[F.col(c).alias(f"before_{c}") for c in KEY], F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
     links = staged(ranked.join(before, "rank").select(*KEY, "repeats", "n_chars", "wanted", *[f"before_{c}" for c in KEY]), f"{stage_at}/links")
 
+    # Both sides of the last join read the same columns of this, so its shuffle is made once and reused.
     one_each = keyed.withColumn("vec", vector(F.col("t")))
     one_each = one_each.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))).where("nth = 1").drop("nth")
     joined = one_each.join(links, KEY)
@@ -149,7 +150,7 @@ def edited_fingerprints(docs: DataFrame, stage_at: str, doc_id: str = "doc_id",
     )
     own_head = F.expr("substring(t, 1, n_chars div 4)")
     paired = joined.join(following, KEY).select(
-        "doc_id", "n_chars", "t", "vec",
+        F.when(F.col("id_null") == 1, F.col("id_key")).cast(docs.schema[doc_id].dataType).alias("doc_id"), "n_chars", "t", "vec",
         F.explode(F.transform(F.sequence(F.lit(1), F.col("repeats")), lambda i: F.struct(
             F.when(i == F.col("repeats"), F.col("next_head")).otherwise(own_head).alias("head"),
             F.when(i == F.col("repeats"), F.col("next_vec")).otherwise(F.col("vec")).alias("vec"),

@@ -1 +1,12 @@
-"""cutloom.plans"""
+"""Queries on the test tables; importing a module registers its queries."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("editing",)
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"cutloom.plans.{name}")

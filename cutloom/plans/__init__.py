@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("editing",)
+MODULES = ("editing", "signals")
 
 
 def load() -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("editing", "signals")
+MODULES = ("editing", "signals", "text", "ingest")
 
 
 def load() -> None:

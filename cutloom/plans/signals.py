@@ -161,12 +161,12 @@ def pcm_duck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PIX_SQL = """pix AS (SELECT video_id, i, x, y, (video_id * 31 + i * 17 + x * 7 + y * 13) * 37 % 256 AS r, (video_id * 5 + i * 29 + x * 11 + y * 3) * 53 % 256 AS g, (video_id * 13 + i * 3 + x * 19 + y * 23) * 71 % 256 AS b
-FROM (SELECT p_partkey AS video_id FROM part WHERE p_size <= 5) v, (SELECT unnest(range(4)) AS i) f, (SELECT unnest(range(6)) AS x) a, (SELECT unnest(range(5)) AS y) b)"""
+FROM (SELECT p_partkey AS video_id FROM part) v, (SELECT unnest(range(4)) AS i) f, (SELECT unnest(range(6)) AS x) a, (SELECT unnest(range(5)) AS y) b)"""
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small frames from a rule: four frames of 6 x 5 pixels per small part."""
-    d = B.table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("video_id"))
+    """Small frames from a rule: four frames of 6 x 5 pixels per part."""
+    d = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id"))
     rng = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     d = d.select("video_id", rng(4).alias("i")).select("*", rng(6).alias("x")).select("*", rng(5).alias("y"))
     part = lambda a, b, c, e, m: ((F.col("video_id") * a + F.col("i") * b + F.col("x") * c + F.col("y") * e) * m % 256)
@@ -203,7 +203,7 @@ def frame_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.frame_diff(pixels(spark, sf_dir)).select("video_id", "i", F.round("content", 5).alias("content"), F.round("motion", 6).alias("motion"))
 
 
-FACE_SQL = """fac AS (SELECT l_orderkey AS video_id, l_linenumber AS k, l_quantity::DOUBLE AS lft, l_discount * 500::DOUBLE AS top, l_quantity + l_tax * 1000::DOUBLE AS rgt, l_discount * 500::DOUBLE + l_quantity AS btm FROM lineitem)"""
+FACE_SQL = """fac AS (SELECT l_orderkey AS video_id, l_linenumber * 1000000::BIGINT + l_partkey AS k, l_quantity::DOUBLE AS lft, l_discount * 500::DOUBLE AS top, l_quantity + l_tax * 1000::DOUBLE AS rgt, l_discount * 500::DOUBLE + l_quantity AS btm FROM lineitem)"""
 
 
 @query(f"""WITH {FACE_SQL}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round((rgt - lft) * (btm - top), 6) DESC, k) AS rn FROM fac) WHERE rn = 1),
@@ -212,7 +212,7 @@ SELECT video_id, CAST(k AS BIGINT) AS face, round(least(greatest(0.6::DOUBLE * l
 round(cx, 6) AS cx, round(cy, 6) AS cy, round(greatest(w / 160, h / 90), 6) AS size FROM s""")
 def face_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = B.table(spark, sf_dir, "lineitem")  # noqa: E741
-    boxes = l.select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").cast("bigint").alias("k"), F.col("l_quantity").cast("double").alias("left"), (F.col("l_discount") * 500).alias("top"), (F.col("l_quantity") + F.col("l_tax") * 1000).alias("right"), (F.col("l_discount") * 500 + F.col("l_quantity")).alias("bottom"))
+    boxes = l.select(F.col("l_orderkey").alias("video_id"), (F.col("l_linenumber") * F.lit(1000000).cast("bigint") + F.col("l_partkey")).alias("k"), F.col("l_quantity").cast("double").alias("left"), (F.col("l_discount") * 500).alias("top"), (F.col("l_quantity") + F.col("l_tax") * 1000).alias("right"), (F.col("l_discount") * 500 + F.col("l_quantity")).alias("bottom"))
     return M.face_frames(boxes, 160, 90).select("video_id", F.col("k").alias("face"), *r6("score", "cx", "cy", "size"))
 
 
@@ -260,13 +260,13 @@ def speech_gate_laugh_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("video_id", (F.col("loud") > G.div(F.col("n"), 20)).alias("has_speech"), "laughs")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS video_id, l_linenumber AS packet, unnest([l_quantity, l_discount * 100, l_tax * 100]::DOUBLE[]) AS x FROM lineitem), m AS (SELECT video_id, packet, sqrt(sum((x / 10) * (x / 10))) AS mag FROM s GROUP BY ALL),
-p AS (SELECT video_id, packet, avg(mag) AS energy FROM m GROUP BY ALL) SELECT video_id, CAST(packet AS BIGINT) AS packet, round(CASE WHEN max(energy) OVER (PARTITION BY video_id) > 0 THEN energy / max(energy) OVER (PARTITION BY video_id) ELSE energy END, 6) AS energy FROM p""")
+@query("""WITH m AS (SELECT l_orderkey AS video_id, l_linenumber * 1000000::BIGINT + l_partkey AS packet, sqrt((l_quantity / 10) * (l_quantity / 10) + (l_discount * 100 / 10) * (l_discount * 100 / 10) + (l_tax * 100 / 10) * (l_tax * 100 / 10)) AS mag FROM lineitem),
+p AS (SELECT video_id, packet, avg(mag) AS energy FROM m GROUP BY ALL) SELECT video_id, packet, round(CASE WHEN max(energy) OVER (PARTITION BY video_id) > 0 THEN energy / max(energy) OVER (PARTITION BY video_id) ELSE energy END, 6) AS energy FROM p""")
 def accel_packet_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutloom.operators.telemetry import packet_energy
 
     l = B.table(spark, sf_dir, "lineitem")  # noqa: E741
-    rows = l.select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").cast("bigint").alias("packet"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount") * 100, F.col("l_tax") * 100).alias("values"), F.lit(3).alias("axes"), F.lit(10.0).alias("scale"))
+    rows = l.select(F.col("l_orderkey").alias("video_id"), (F.col("l_linenumber") * F.lit(1000000).cast("bigint") + F.col("l_partkey")).alias("packet"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount") * 100, F.col("l_tax") * 100).alias("values"), F.lit(3).alias("axes"), F.lit(10.0).alias("scale"))
     return packet_energy(rows).select("video_id", "packet", *r6("energy"))
 
 

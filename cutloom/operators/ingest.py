@@ -47,8 +47,8 @@ def parse_date(raw: Column) -> Column:
 
 
 def first_video_track(tracks: DataFrame) -> DataFrame:
-    """(video_id, idx, mime, fps) -> the first track that holds video."""
-    return tracks.where(F.col("mime").startswith("video/")).groupBy("video_id").agg(F.min_by(F.struct("idx", "mime", "fps"), "idx").alias("t")).select("video_id", "t.*")
+    """(video_id, idx, mime, fps) -> the first track that holds video; equal places go by their values."""
+    return tracks.where(F.col("mime").startswith("video/")).groupBy("video_id").agg(F.min(F.struct("idx", "mime", "fps")).alias("t")).select("video_id", "t.*")
 
 
 def risk(codec: Column, mime: Column, decodable: Column, depth: Column, width: Column, height: Column) -> tuple[Column, Column, Column]:

@@ -41,12 +41,12 @@ def codec_bit_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes(spark, sf_dir).select("video_id", I.codec_of(F.col("mime")).alias("codec"), I.bit_depth(F.col("prof")).alias("depth"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE epoch_ms(date_trunc('second', o_orderdate)) + CASE WHEN o_orderkey % 4 = 0 THEN 250 ELSE 0 END END AS captured_ms FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN -1 ELSE epoch_ms(date_trunc('second', o_orderdate)) + CASE WHEN o_orderkey % 4 = 0 THEN 250 ELSE 0 END END AS captured_ms FROM orders""")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates written in the three patterns, and one that fits none, parsed again."""
+    """Dates written in the three patterns, and one that fits none (given as -1), parsed again."""
     d = F.col("o_orderdate").cast("timestamp")
     raw = F.get(F.array(F.date_format(d, "yyyyMMdd'T'HHmmss'.250Z'"), F.date_format(d, "yyyyMMdd'T'HHmmss'Z'"), F.date_format(d, "yyyy-MM-dd HH:mm:ss"), F.lit("yesterday")), (F.col("o_orderkey") % 4).cast("int"))
-    return B.table(spark, sf_dir, "orders").select("o_orderkey", I.parse_date(raw).alias("captured_ms"))
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(I.parse_date(raw), F.lit(-1)).alias("captured_ms"))
 
 
 @query(f"""WITH {PROBE}, c AS (SELECT *, CASE mime WHEN 'video/avc' THEN 'H264' WHEN 'video/hevc' THEN 'HEVC' WHEN 'video/av01' THEN 'AV1' WHEN 'video/x-vnd.on2.vp9' THEN 'VP9' WHEN 'video/x-vnd.on2.vp8' THEN 'VP8' ELSE 'OTHER' END AS codec, CASE WHEN prof = 2 OR prof >= 4096 THEN 10 ELSE 8 END AS depth, coalesce(mime IN ('video/avc', 'video/hevc', 'video/x-vnd.on2.vp9'), FALSE) AS dec FROM prb),
@@ -89,7 +89,7 @@ def preview_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.preview_frame(B.points(spark, sf_dir).select("video_id", "t_ms", F.lit(B.DURATION).alias("duration_ms")))
 
 
-@query("WITH t AS (SELECT l_orderkey AS video_id, l_linenumber * 1000000::BIGINT + l_partkey AS idx, CASE WHEN l_returnflag = 'A' THEN 'audio/mp4' ELSE 'video/' || lower(l_linestatus) END AS mime, l_quantity AS fps FROM lineitem) SELECT video_id, min(idx) AS idx, arg_min(mime, idx) AS mime, arg_min(fps, idx) AS fps FROM (SELECT DISTINCT * FROM t) WHERE starts_with(mime, 'video/') GROUP BY 1 HAVING count(*) FILTER (WHERE FALSE) = 0")
+@query("WITH t AS (SELECT l_orderkey AS video_id, l_linenumber * 1000000::BIGINT + l_partkey AS idx, CASE WHEN l_returnflag = 'A' THEN 'audio/mp4' ELSE 'video/' || lower(l_linestatus) END AS mime, l_quantity AS fps FROM lineitem) SELECT video_id, idx, mime, fps FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx, mime, fps) AS rn FROM t WHERE starts_with(mime, 'video/')) WHERE rn = 1")
 def first_video_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     mime = F.when(F.col("l_returnflag") == "A", "audio/mp4").otherwise(F.concat(F.lit("video/"), F.lower("l_linestatus")))
     t = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_id"), (F.col("l_linenumber") * F.lit(1000000).cast("bigint") + F.col("l_partkey")).alias("idx"), mime.alias("mime"), F.col("l_quantity").alias("fps"))
@@ -261,10 +261,10 @@ def crop_cut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cut_segments(targets(spark, sf_dir).select("video_id", "t_sec").distinct(), _cuts_sec(spark, sf_dir))
 
 
-@query(f"WITH {TARGETS} SELECT video_id, i, 1.15::DOUBLE AS scale, round(least(greatest(-(cx * 2 - 1), -0.15::DOUBLE), 0.15::DOUBLE), 6) AS tx, round(least(greatest(-(1 - cy * 2) * 0.5::DOUBLE, -0.1::DOUBLE), 0.1::DOUBLE), 6) AS ty FROM trg")
+@query(f"WITH {TARGETS} SELECT video_id, i, 1.15::DOUBLE AS scale, round(least(greatest(-(cx * 2 - 1), -0.15::DOUBLE), 0.15::DOUBLE), 6) + 0.0::DOUBLE AS tx, round(least(greatest(-(1 - cy * 2) * 0.5::DOUBLE, -0.1::DOUBLE), 0.1::DOUBLE), 6) + 0.0::DOUBLE AS ty FROM trg")
 def reframe_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale, tx, ty = R.reframe_params(F.col("cx"), F.col("cy"))
-    return targets(spark, sf_dir).select("video_id", "i", scale.alias("scale"), F.round(tx, 6).alias("tx"), F.round(ty, 6).alias("ty"))
+    return targets(spark, sf_dir).select("video_id", "i", scale.alias("scale"), (F.round(tx, 6) + 0.0).alias("tx"), (F.round(ty, 6) + 0.0).alias("ty"))
 
 
 @query(_OD + ", f AS (SELECT video_id, ord, src_in_ms, unnest(range(0, (src_out_ms - src_in_ms) * 1000, 400000)) AS pts_us FROM od) SELECT video_id, ord, pts_us, src_in_ms + pts_us // 1000 AS src_ms FROM f")

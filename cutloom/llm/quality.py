@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 TRAIN_ROWS = 8000
 MIN_DF = 4
-MIN_G = 25.0
+MIN_G = 15.0
 CACHE_WORDS = 400_000
 #: Lengths of word beginnings, and how many distinct words of a text sharing one still count.
 STEMS = (3, 4, 5, 6, 7)

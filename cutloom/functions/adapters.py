@@ -6,7 +6,7 @@ one of outputs; one that is not registered, or that fails to load, leaves the fa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ def scorer(name: str, fallback: Column, value: Column, kind: str = "double") ->
     load = _SCORERS[name]
 
     @F.pandas_udf(kind)
-    def run(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
             score = load()
         except Exception:  # a scorer that cannot be loaded is as good as none
@@ -49,7 +49,6 @@ def scorer(name: str, fallback: Column, value: Column, kind: str = "double") ->
         for batch in batches:
             yield score(batch) if score else pd.Series([None] * len(batch), dtype="object")
 
-    run.__annotations__ = {}
     return F.coalesce(run(value), fallback)
 
 

@@ -62,8 +62,9 @@ def subtitles(chunks: DataFrame, kind: str = "srt") -> DataFrame:
 
 
 def write_subtitles(files: DataFrame, path: str) -> None:
-    """One text file's lines per row, in a folder per recording."""
-    files.select("video_id", F.col("body").alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("video_id").text(path)
+    """A text file per recording, in a folder of its own."""
+    body = F.expr("substring(body, 1, length(body) - 1)")  # the writer ends the last line itself
+    files.select("video_id", body.alias("value")).write.mode("overwrite").partitionBy("video_id").text(path)
 
 
 def active_chunk(frames: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -52,18 +52,27 @@ def snap_to_trough(targets: DataFrame, loudness: DataFrame, window_ms: int, n: i
 
 
 def snap_to_sentence(targets: DataFrame, ends: DataFrame, window_ms: int) -> DataFrame:
-    """Add sentence_ms: the nearest sentence end within the window, the earlier on ties, else null."""
-    near = targets.join(ends, "video_id").where(F.abs(F.col("end_at") - F.col("target_ms")) <= window_ms)
+    """Add sentence_ms: the nearest sentence end within the window, the earlier on ties, else null.
+
+    Times meet by stretches of the window's length, a target also by the stretches beside its own.
+    """
+    stretch = lambda c: F.floor(F.col(c) / max(window_ms, 1))
+    around = F.explode(F.array(*[stretch("target_ms") + k for k in (-1, 0, 1)]))
+    near = targets.withColumn("_at", around).join(ends.withColumn("_at", stretch("end_at")), ["video_id", "_at"]).where(F.abs(F.col("end_at") - F.col("target_ms")) <= window_ms)
     keys = ["video_id", "shot_index", "k"]
     best = near.groupBy(*keys).agg(F.min_by("end_at", F.struct(F.abs(F.col("end_at") - F.col("target_ms")), "end_at")).alias("sentence_ms"))
     return targets.join(best, keys, "left")
 
 
 def off_words(cuts: DataFrame, words: DataFrame) -> DataFrame:
-    """Move a cut inside a word (ends included; the first such word) to the nearer edge, the end on ties."""
+    """Move a cut inside a word (ends included; the first such word) to the nearer edge, the end on ties.
+
+    A word lies over few seconds; cuts and words meet by the second.
+    """
     keys = ["video_id", "shot_index", "k"]
-    w = words.select("video_id", "seq", F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"))
-    hit = cuts.join(w, "video_id").where(F.col("cut_ms").between(F.col("w_start"), F.col("w_end")))
+    second = lambda c: F.floor(F.col(c) / 1000)
+    w = words.where("end_ms >= start_ms").select("video_id", "seq", F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"), F.explode(F.sequence(second("start_ms"), second("end_ms"))).alias("_at"))
+    hit = cuts.withColumn("_at", second("cut_ms")).join(w, ["video_id", "_at"]).where(F.col("cut_ms").between(F.col("w_start"), F.col("w_end")))
     edge = F.when(F.col("cut_ms") - F.col("w_start") < F.col("w_end") - F.col("cut_ms"), F.col("w_start")).otherwise(F.col("w_end"))
     first = hit.groupBy(*keys).agg(F.min_by(edge, "seq").alias("edge"))
     rest = [c for c in cuts.columns if c != "cut_ms"]

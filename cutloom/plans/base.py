@@ -118,9 +118,14 @@ sht AS (SELECT * FROM (SELECT video_id, row_number() OVER w - 1 AS shot_index, m
   WINDOW w AS (PARTITION BY video_id ORDER BY ms)) WHERE end_ms > start_ms)"""
 
 
-def units_sql(p: dict, source: str = "sht") -> str:
-    """CTEs up to ``uni`` (units of a preset) from ``sht`` and ``loud``."""
+def units_sql(p: dict, source: str = "sht", words: bool = False) -> str:
+    """CTEs up to ``uni`` (units of a preset) from ``sht`` and ``loud``; with ``words``, from ``wds`` and ``ens`` too."""
     window, last = min(p["avg_shot_ms"] // 2, 800), N - 1
+    snapped = f"""snt AS (SELECT t.video_id, t.shot_index, t.k, arg_min(e.end_at, abs(e.end_at - t.target_ms) * 10000000::BIGINT + e.end_at) AS s
+  FROM tgt t JOIN ens e ON e.video_id = t.video_id AND abs(e.end_at - t.target_ms) <= {window} GROUP BY ALL),
+cs1 AS (SELECT b.video_id, b.shot_index, b.k, b.start_ms, b.end_ms, coalesce(s, cut_ms) AS c FROM bst0 b LEFT JOIN snt n ON n.video_id = b.video_id AND n.shot_index = b.shot_index AND n.k = b.k),
+ofw AS (SELECT c.video_id, c.shot_index, c.k, arg_min(CASE WHEN c.c - w.start_ms < w.end_ms - c.c THEN w.start_ms ELSE w.end_ms END, w.seq) AS e FROM cs1 c JOIN wds w ON w.video_id = c.video_id AND c.c BETWEEN w.start_ms AND w.end_ms GROUP BY ALL),
+bst AS (SELECT c.video_id, c.shot_index, c.k, coalesce(e, c.c) AS cut_ms, c.start_ms, c.end_ms FROM cs1 c LEFT JOIN ofw o ON o.video_id = c.video_id AND o.shot_index = c.shot_index AND o.k = c.k),"""
     return f"""npc AS (SELECT *, end_ms - start_ms AS dur, greatest(1, CAST(floor((end_ms - start_ms) / {p['avg_shot_ms']}.0::DOUBLE + 0.5) AS BIGINT), (end_ms - start_ms) // {p['max_unit_ms'] + 1} + 1) AS n FROM {source}),
 tgt AS (SELECT video_id, shot_index, start_ms, end_ms, k, start_ms + dur * k // n AS target_ms
   FROM (SELECT *, unnest(range(1, n)) AS k FROM npc WHERE dur > {p['max_unit_ms']} AND n > 1)),
@@ -128,8 +133,9 @@ stp AS (SELECT *, unnest(range(greatest(start_ms, target_ms - {window}), least(e
 val AS (SELECT s.*, a.value AS va, b.value AS vb, least(t * 4 // 1000, {last}) AS ia, least((t + 249) * 4 // 1000, {last}) AS ib
   FROM stp s JOIN loud a ON a.video_id = s.video_id AND a.i = least(t * 4 // 1000, {last})
   JOIN loud b ON b.video_id = s.video_id AND b.i = least((t + 249) * 4 // 1000, {last})),
-bst AS (SELECT video_id, shot_index, k, t AS cut_ms, start_ms, end_ms FROM (
+{'bst0' if words else 'bst'} AS (SELECT video_id, shot_index, k, t AS cut_ms, start_ms, end_ms FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id, shot_index, k ORDER BY CASE WHEN ia = ib THEN va ELSE (va + vb) / 2 END, t) AS rn FROM val) WHERE rn = 1),
+{snapped if words else ''}
 cut AS (SELECT video_id, shot_index, list_sort(list(least(greatest(cut_ms, start_ms), end_ms))) AS cuts FROM bst GROUP BY ALL),
 raw AS (SELECT s.video_id, s.shot_index, s.start_ms, s.end_ms, c.cuts,
   CASE WHEN c.cuts IS NULL THEN [s.start_ms, s.end_ms] ELSE list_reduce(list_transform(list_concat(list_concat([s.start_ms], c.cuts), [s.end_ms]), lambda x: [x]),

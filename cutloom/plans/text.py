@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cutloom import dims
 from cutloom.operators import captions as C
+from cutloom.operators import shots as H
 from cutloom.operators import transcript as T
 from cutloom.plans import base as B
 from cutloom.registry import query
@@ -204,3 +206,12 @@ def words_parse_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x, k: F.concat(x, F.lit("\t"), (k * 1000).cast("string"), F.lit("\t"), F.when(k % 5 == 4, k * 1000 - 1).otherwise(k * 1000 + F.length(x)).cast("string")))
     raw = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.array_join(F.concat(F.array(F.lit("bad-line")), lines, F.array(F.lit("neg\t100\t50"), F.lit("a\tb\tc"))), "\n").alias("raw"))
     return T.parse_tsv(raw)
+
+
+@query(f"WITH {B.POINTS},\n{B.GRID},\n{B.LOUD_SQL},\n{B.SHOTS_SQL},\n{words_sql()}, {ENDS},\n{B.units_sql(dims.preset('shortform'), words=True)} SELECT video_id, unit_seq, shot_index, src_in_ms, src_out_ms FROM uni")
+def units_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units whose cuts prefer the ends of sentences and stay out of words; a document's words are spoken in the video of its number."""
+    from cutloom.plans.editing import shots
+
+    w = B.words(spark, sf_dir)
+    return H.segment(shots(spark, sf_dir), B.loudness(spark, sf_dir), dims.preset("shortform"), B.N, w, T.sentence_ends(w))

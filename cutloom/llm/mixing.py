@@ -14,7 +14,7 @@ document of the target.
 
 Scale: positions come from counts of (source, size class, salt), summed first within a class and
 then over classes, so that no task ranks a whole source, however large it is. The number of salts
-follows the number of rows.
+follows the size of the largest class.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a source
 without words gets target 0; ties and repeated rows are ranked in some order among themselves and
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from cutloom.llm.common import WORD_PATTERN, staged, text_or_empty
 
-ROWS_PER_GROUP = 50_000
+#: Salts follow the largest size class of a source; beyond the last number groups get larger instead.
+ROWS_PER_GROUP = 1000
+MOST_SALTS = 4096
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -86,10 +88,12 @@ def copies(
     )
     if stage_at:
         sized = staged(sized, stage_at)
-    salts = max(1, sized.select("source_null").count() // ROWS_PER_GROUP)
     # The class is the size's leading bit with the four after it: 6 % wide, from integers alone.
     size_class = F.expr("length(bin(size)) * 32 + shiftright(shiftleft(size, 5), length(bin(size)))").cast("int")
-    sized = sized.withColumns({"size_class": size_class, "salt": F.pmod(F.col("draw"), F.lit(salts)).cast("int")})
+    sized = sized.withColumn("size_class", size_class)
+    largest = sized.groupBy("source_null", "source_key", "size_class").count().agg(F.max("count")).first()[0] or 0
+    salts = min(MOST_SALTS, -(-largest // ROWS_PER_GROUP) or 1)
+    sized = sized.withColumn("salt", F.pmod(F.col("draw"), F.lit(salts)).cast("int"))
 
     group = ["source_null", "source_key", "size_class", "salt"]
     counts = sized.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))

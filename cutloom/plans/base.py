@@ -53,20 +53,27 @@ def loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("video_id", "i", F.when(most > 0, F.col("value") / most).otherwise(F.col("value")).alias("value"))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """video_id, i and the seven channels, those of events scaled by 490."""
-    vids = videos(spark, sf_dir)
-    p = points(spark, sf_dir)
-    scaled = {}
-    for name, kind in CHANNEL_EVENTS.items():
-        scaled[name] = G.bin_max(p.where(F.col("event_type") == kind).withColumn("value", F.col("value") / 490), N, DURATION)
-    scaled["laughter"] = G.bin_max(p.select("video_id", "t_ms", (F.col("k") / 100).alias("value")), N, DURATION)
-    wide = G.zip_channels(vids, N, scaled)
+def _held(wide: DataFrame, names: list[str]) -> DataFrame:
     w = G.by_video().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = [F.coalesce(F.last(F.when(F.col(c) > 0, F.col(c)), ignorenulls=True).over(w), F.lit(0.0)).alias(c) for c in scaled]
+    held = [F.coalesce(F.last(F.when(F.col(c) > 0, F.col(c)), ignorenulls=True).over(w), F.lit(0.0)).alias(c) for c in names]
     return wide.select("video_id", "i", *held)
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, i and the six scored channels, those of events scaled by 490."""
+    channels = {name: F.when(F.col("event_type") == kind, F.col("value") / 490) for name, kind in CHANNEL_EVENTS.items()} | {"laughter": F.col("k") / 100}
+    binned = G.bin_max_wide(points(spark, sf_dir), N, DURATION, channels)
+    return _held(G.grid(videos(spark, sf_dir), N).join(binned, ["video_id", "i"], "left"), list(channels))
+
+
+def zipped_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from channels that come apart, as scorers give them."""
+    p = points(spark, sf_dir)
+    apart = {name: G.bin_max(p.where(F.col("event_type") == kind).withColumn("value", F.col("value") / 490), N, DURATION) for name, kind in CHANNEL_EVENTS.items()}
+    apart["laughter"] = G.bin_max(p.select("video_id", "t_ms", (F.col("k") / 100).alias("value")), N, DURATION)
+    return _held(G.zip_channels(videos(spark, sf_dir), N, apart), list(apart))
+
+
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).where("event_type = 'purchase'").select("video_id", F.col("t_ms").alias("cut_ms"))
 

@@ -115,6 +115,11 @@ FEATURES = ["scene_length", "action", "speech", "laughter", "drama", "aesthetic"
 
 @query(f"WITH {B.SIGNALS_SQL} SELECT video_id, i, {', '.join(f'round({s}, 6) AS {s}' for s in FEATURES[1:])} FROM sig")
 def zip_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.zipped_signals(spark, sf_dir).select("video_id", "i", *r6(*FEATURES[1:]))
+
+
+@query(f"WITH {B.SIGNALS_SQL} SELECT video_id, i, {', '.join(f'round({s}, 6) AS {s}' for s in FEATURES[1:])} FROM sig")
+def signal_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.signals(spark, sf_dir).select("video_id", "i", *r6(*FEATURES[1:]))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the control characters 9 to 13.
 SPACE = " \t\n\x0b\f\r"
+BATCH_BYTES = 4 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -50,6 +51,11 @@ def drop_folder(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python by bytes: texts differ in length, and a batch is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     col = F.col(column) if isinstance(column, str) else column
     return F.coalesce(col.cast("string"), F.lit(""))

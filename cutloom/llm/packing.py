@@ -23,18 +23,22 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import shared_dir, staged
+from cutloom.llm.common import shared_dir, small_batches, staged
 
 CAPACITY = 4096
 END_ID = 1
-ROWS_PER_SALT = 50_000
-CACHE_WORDS = 600_000
+#: Salts follow the most common length; beyond the last number groups get larger instead.
+ROWS_PER_SALT = 1000
+MOST_SALTS = 4096
+CACHE_WORDS = 500_000
 BLOCK_CHARS = 1_000_000
 
 
@@ -107,7 +111,6 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.nda
 #: Characters for which splitting at white space, lowering the case and telling letters from
 #: punctuation are the same to Python and to the tokenizer.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-TAIL = ".,;:!?"
 
 
 class WordIds:
@@ -130,27 +133,26 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """Put the ids of words into the cache; their cores are one part each if all letters."""
+        """Put the ids of words into the cache. A word's core, without its closing marks, is one part if it is all letters,
+        and the marks are another."""
         cache = self.cache
-        cores = {w: w.rstrip(TAIL) for w in words}
-        plain = sorted({c for c in cores.values() if c.isalpha() and c not in cache})
+        cores = {w: w.rstrip(punctuation) for w in words}
+        simple = {w: c for w, c in cores.items() if c.isalpha()}
+        plain = sorted(set(simple.values()).difference(cache))
         if plain:
             encoded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
+            ids = np.array(encoded.ids, "<u4").tobytes()
             ends = np.flatnonzero(np.diff(np.array(encoded.word_ids, np.int64), append=-1)) + 1
             start = 0
-            for core, end in zip(plain, ends.tolist(), strict=True):
-                cache[core] = ids[start:end].tobytes()
+            for core, end in zip(plain, (4 * ends).tolist(), strict=True):
+                cache[core] = ids[start:end]
                 start = end
-        for word, core in cores.items():
-            if word not in cache:
-                tail = word[len(core) :]
-                if core.isalpha() and tail:
-                    if tail not in cache:
-                        cache[tail] = self.whole(tail)
-                    cache[word] = cache[core] + cache[tail]
-                else:
-                    cache[word] = self.whole(word)
+        other = sorted(({w[len(c) :] for w, c in simple.items()} | (words - simple.keys())).difference(cache, [""]))
+        for word, encoded in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
+            cache[word] = np.array(encoded.ids, "<u4").tobytes()
+        for word, core in simple.items():
+            if len(core) < len(word):
+                cache[word] = cache[core] + cache[word[len(core) :]]
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -158,11 +160,21 @@ class WordIds:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         split = [t.lower().split() if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        missing: set[str] = set()
-        for words in split:
-            missing.update(words or ())
-        self._learn(missing.difference(cache))
-        return [self.whole(t) if words is None else b"".join(map(cache.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        found = [None if words is None else list(map(cache.get, words)) for words in split]
+        gaps = [[k for k, ids in enumerate(parts) if ids is None] if parts and None in parts else () for parts in found]
+        self._learn({words[k] for words, at in zip(split, gaps, strict=True) for k in at})
+        out = []
+        for text, words, parts, at in zip(texts, split, found, gaps, strict=True):
+            for k in at:
+                parts[k] = cache[words[k]]
+            out.append(self.whole(text) if parts is None else b"".join(parts))
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that tasks go on with the words the last ones met."""
+    return WordIds(path)
 
 
 def blocks(texts: Sequence[str], most: int = BLOCK_CHARS) -> Iterator[slice]:
@@ -184,7 +196,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         for batch in batches:
             of, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -212,7 +224,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", d
     ``pieces`` is read more than once and must give the same rows each time, as a staged table does.
     """
     spark = pieces.sparkSession
-    salts = max(1, pieces.count() // ROWS_PER_SALT)
+    most = pieces.groupBy(length).count().agg(F.max("count")).first()[0] or 0
+    salts = min(MOST_SALTS, -(-most // ROWS_PER_SALT) or 1)
     salted = pieces.withColumn("salt", F.pmod(F.col(draw), F.lit(salts)).cast("int"))
     counts = salted.groupBy(length, "salt").agg(F.count(F.lit(1)).alias("n"))
     # At most one row per length and salt, summed over the salts of a length.
@@ -243,6 +256,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", d
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    small_batches(docs.sparkSession)
     at = shared_dir(docs.sparkSession)
     pieces = staged(tokenized_pieces(docs, tokenizer_path, capacity, doc_id, text), f"{at}/pieces")
     return place(pieces, capacity).drop("draw")

@@ -7,7 +7,7 @@ mean profiles are closest are joined (average linkage) up to the widest gap betw
 Features are the counts of hashed character bigrams and trigrams of the whole lower-case text,
 square-rooted and scaled to length one. Models are fitted on the driver to a bounded sample of
 labelled texts: about ``TRAIN_PER_LANGUAGE`` of each language, drawn by hash, of which only the
-hashed profiles leave the executors. Every document is predicted on its whole text.
+distinct hashed profiles leave the executors. Every document is predicted on its whole text.
 
 Defined results: text that is null or has no letter is ``und`` with score 0; if no labelled text
 exists, everything is ``und``; a single known language is predicted for all with score 1; equal
@@ -18,20 +18,22 @@ id and text are never inputs of a prediction and cannot clash.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.llm.common import small_batches
+
 BITS = 12
-TRAIN_PER_LANGUAGE = 600
+TRAIN_PER_LANGUAGE = 300
 BLOCK_CHARS = 400_000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def profiles(texts: Sequence[str], bits: int = BITS) -> np.ndarray:
@@ -80,16 +82,17 @@ def families(names: Sequence[str], centres: np.ndarray) -> list[list[str]]:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
     """Squared-hinge linear support vector machine by accelerated gradient; y in {-1, 1}, classes weighed alike."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w, b = np.zeros(x.shape[1]), 0.0
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     last_w, last_b = w, b
-    rate = 1.0 / 4.1
+    rate = np.float32(1.0 / 4.1)
     for step in range(steps):
-        pull = step / (step + 3)
-        v, c = w + pull * (w - last_w), b + pull * (b - last_b)
-        slack = np.maximum(0.0, 1 - y * (x @ v + c)) * y * weight
+        pull = np.float32(step / (step + 3))
+        v, c = w + pull * (w - last_w), b + float(pull) * (b - last_b)
+        slack = np.maximum(0, 1 - y * (x @ v + np.float32(c))) * y * weight
         last_w, last_b = w, b
-        w, b = v + rate * (2 * (x.T @ slack) - penalty * v), c + rate * 2 * slack.sum()
+        w, b = v + rate * (2 * (slack @ x) - np.float32(penalty) * v), c + float(rate) * 2 * float(slack.sum())
     return w, float(b)
 
 
@@ -140,7 +143,7 @@ def fit(names: Sequence[str], x: np.ndarray) -> LanguageModel:
     if not kinds:
         return LanguageModel()
     lang = np.array([kinds.index(n) for n in names])
-    x = x.astype(np.float64)
+    x = x.astype(np.float32)
     model = LanguageModel(families(kinds, np.stack([x[lang == k].mean(0) for k in range(len(kinds))])))
     of = {n: k for k, g in enumerate(model.groups) for n in g}
     family = np.array([of[kinds[k]] for k in lang])
@@ -159,6 +162,7 @@ def has_letter(text: str | None) -> bool:
 
 def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageModel:
     """``labelled`` (text, lang): fit to about ``per_language`` texts of each language."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not counts:
@@ -176,13 +180,16 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Langua
             found = profiles([texts[k] for k in rows]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in rows], pa.string()), pa.array([f.tobytes() for f in found], pa.binary())], names=["lang", "found"])
 
-    got = drawn.select("text", "lang").mapInArrow(profile, "lang string, found binary").orderBy("lang", "found").toArrow()
-    x = np.array([np.frombuffer(b, np.float16) for b in got.column("found").to_pylist()]).reshape(-1, 1 << BITS)
-    return fit(got.column("lang").to_pylist(), x)
+    got = drawn.select("text", "lang").mapInArrow(profile, "lang string, found binary").distinct().orderBy("lang", "found").toArrow()
+    names, packed = got.column("lang").to_pylist(), got.column("found").to_pylist()
+    del got
+    pa.default_memory_pool().release_unused()
+    return fit(names, np.frombuffer(b"".join(packed), np.float16).reshape(-1, 1 << BITS))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``row`` (the whole input row), lang_pred, score."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"

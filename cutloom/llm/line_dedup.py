@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutloom.llm.common import LOWER, SPACE, UPPER, drop_folder, shared_dir, staged, text_or_empty
+from cutloom.llm.common import LOWER, SPACE, UPPER, drop_folder, shared_dir, small_batches, staged, text_or_empty
 
 HASH = ["h1", "h2"]
 
@@ -130,12 +130,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     Which positions to drop depends on the text alone, so they are gathered per distinct text (a
     group's size is bounded by its text's lines) and joined back on the text's hash.
     """
-    frequent = frequent_keys(docs, min_docs, min_chars, batches, text=text)
+    small_batches(docs.sparkSession)
+    at = shared_dir(docs.sparkSession)
+    frequent = frequent_keys(docs, min_docs, min_chars, batches, at, text)
     digest = [F.xxhash64(F.lit(2), F.col(text)).alias("t1"), F.xxhash64(F.lit(3), F.col(text)).alias("t2")]
     keys = F.transform(F.split(text_or_empty(text), "\n", -1), line_key)
     lines = docs.select(*digest, F.posexplode(keys).alias("at", "key")).where(F.length("key") >= min_chars)
     hits = lines.select("t1", "t2", "at", *line_hashes(F.col("key"))).join(frequent, HASH, "left_semi")
-    dropped = hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("drop"))
+    # Staged, so that the join below is of two plain shuffles and Spark can split the copies of one text.
+    dropped = staged(hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("drop")), f"{at}/dropped")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text).alias("t"), *digest)
     joined = whole.join(dropped, ["t1", "t2"], "left").select("row", "t", "drop")
     out = T.StructType([joined.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

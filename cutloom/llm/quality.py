@@ -15,8 +15,8 @@ The model is fitted on the driver to a bounded sample of rated documents (``TRAI
 hash of the id and so the same on every run); every document is scored, whole.
 
 Defined results: null text is empty; an empty text has only its measures as features; ratings that
-are null or belong to no document are not used; a document that is rated twice gives two rows to
-learn from; without any usable rating all weights are 0 and the grades are equally likely; other
+are null or belong to no document are not used; a document that is rated twice is learned from
+once for each different rating; without any usable rating all weights are 0 and the grades are equally likely; other
 columns are not read and cannot clash.
 """
 
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.llm.common import small_batches
+
 BUCKETS = 1 << 18
 TRAIN_ROWS = 8000
 MIN_DF = 4
@@ -160,7 +162,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, steps: in
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> CumulativeLink:
-    """Fit to about ``rows`` rated documents. Only their hashed features reach the driver."""
+    """Fit to about ``rows`` rated documents. Only their distinct hashed features reach the driver."""
+    small_batches(docs.sparkSession)
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 1)
     rated = labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
     many = rated.count()
@@ -175,12 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Cumulat
             found = [make(t or "").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(found, pa.binary())], names=["grade", "found"])
 
-    got = sample.select("text", "grade").mapInArrow(features, "grade int, found binary").toArrow()
+    got = sample.select("text", "grade").mapInArrow(features, "grade int, found binary").distinct().orderBy("grade", "found").toArrow()
     return fit([np.frombuffer(b, np.int32) for b in got.column("found").to_pylist()], np.array(got.column("grade").to_pylist(), np.int64))
 
 
 def score(docs: DataFrame, model: CumulativeLink, keep_at: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, p_clean (grade >= 1), p_good (grade >= 2), keep (p_good >= keep_at)."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, expected_grade double, p_clean double, p_good double, keep boolean"

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.llm.common import small_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -172,6 +174,7 @@ def find_spans(text: str, rule: Rule, compiled: re.Pattern) -> list[tuple[int, i
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, base: int = len(BASE_RULES), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_<kind> of the first ``base`` rules, base_sha256, spans: kind:start:end by start, then kind."""
+    small_batches(docs.sparkSession)
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries for clause in q for each in clause for t in each})
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

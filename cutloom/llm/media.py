@@ -21,8 +21,10 @@ values; repeated rows each get a row; an empty table gives an empty result; only
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,14 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import shared_dir, staged
+from cutloom.llm.common import shared_dir, small_batches, staged
 
 UNIT = 64
-CUT_BITS = 12
-LEAST, MOST = 1024, 32768
+CUT_BITS = 13
+LEAST, MOST = 2048, 65536
 WINDOW = 32
 RATE_HZ = 8000
-LEVEL = 9
+HEADER_BYTES = 44
+LEVEL = 15
 DICTIONARY_BYTES = 110_000
 DICTIONARY_TEXTS = 3000
 SAMPLE_BYTES = 8192
@@ -190,13 +193,13 @@ class ChunkStore:
         return found
 
     def read_back(self, recipe: DataFrame) -> DataFrame:
-        """Per distinct payload: payload_digest, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+        """Per distinct payload: payload_digest, tail_crc32, media_digest (SHA-256), feature."""
         dictionary = self.dictionary
         distinct = recipe.groupBy("payload_digest").agg(F.first("digests").alias("digests"), F.first("payload_bytes").alias("size"))
         wanted = distinct.select("payload_digest", "size", F.posexplode("digests").alias("nth", "digest"))
         parts = wanted.join(self.chunks(), "digest").select("payload_digest", "size", "nth", "packed")
         parts = parts.repartition("payload_digest").sortWithinPartitions("payload_digest", "nth")
-        schema = "payload_digest binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        schema = "payload_digest binary, tail_crc32 long, media_digest binary, feature string"
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -214,9 +217,9 @@ class ChunkStore:
                     if not rest:
                         out.append(verified(key, b"".join(pieces)))
                         pieces = []
-                columns = list(zip(*out, strict=True)) or [[]] * 6
-                kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["payload_digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["payload_digest", "tail_crc32", "media_digest", "feature"])
             if rest:
                 raise ValueError(f"payload {key.hex()} lacks {rest} bytes")
 
@@ -225,24 +228,32 @@ class ChunkStore:
 
 def verified(digest: bytes, payload: bytes) -> tuple:
     """The values of a payload read back; fails if it is not the one that was stored."""
-    if hashlib.sha256(payload).digest() != digest:
+    back = hashlib.sha256(payload).digest()
+    if back != digest:
         raise ValueError(f"payload {digest.hex()} was read back otherwise")
-    media = wav_header(len(payload)) + payload
-    return digest, digest.hex(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features_of(payload)
+    return back, zlib.crc32(payload[-UNIT:]), hashlib.sha256(wav_header(len(payload)) + payload).digest(), features_of(payload)
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver to collect what it no longer holds, so that finished shuffles free their disk now."""
-    spark.sparkContext._jvm.System.gc()
+    """Let go of finished shuffles now: their files go once neither Python nor the driver's JVM holds them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes and the columns of ``read_back``, for every document."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     at = shared_dir(spark)
     recipe = staged(recipes(docs), f"{at}/recipes")
     store = ChunkStore(spark, f"{at}/chunks", chunk_dictionary(docs))
     store.add(docs)
     release_shuffles(spark)
     back = store.read_back(recipe)
-    return recipe.select("doc_id", "n_bytes", "payload_bytes", "payload_digest").join(back, "payload_digest").drop("payload_digest")
+    found = recipe.select("doc_id", "n_bytes", "payload_bytes", "payload_digest").join(back, "payload_digest")
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32",
+        (F.col("payload_bytes") + HEADER_BYTES).alias("media_bytes"), F.lower(F.hex("media_digest")).alias("media_sha256"), "feature",
+    )

@@ -324,6 +324,26 @@ def test_bits_are_a_distribution():
     assert total == pytest.approx(1.0) and len(next_bytes) == 255
 
 
+def test_lm_sees_the_order_of_words(spark):
+    """The same words in another order, after the first 64 tokens, have another score."""
+    line = " ".join(f"w{k}" for k in range(300))
+    head, tail = line.split()[:100], line.split()[100:]
+    texts = [(k, line) for k in range(20) if zlib.crc32(str(k).encode()) % 7 != 2]
+    out = [k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 7 == 2]
+    texts += [(out[0], line), (out[1], " ".join([*head, *tail[::-1]]))]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got[out[0]].base_score == pytest.approx(got[out[1]].base_score)
+    assert got[out[0]].score > got[out[1]].score + 10
+
+
+def test_pieces_of_a_long_text_have_its_bits():
+    text = b" ".join(b"%x" % (k * k) for k in range(2000))
+    counts = cm.count_words([text], [0])
+    m = cm.fit(counts, [text[:5000]], [0], rounds=1)
+    whole = m._block(cm.block_of([text], [0])).sum()
+    assert sum(m._block(b).sum() for b in cm._pieces(text, np.zeros(len(text) + 1, np.int64), 300)) == pytest.approx(whole)
+
+
 # Near duplicates
 
 

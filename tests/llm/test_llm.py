@@ -344,6 +344,10 @@ def test_pieces_of_a_long_text_have_its_bits():
     assert sum(m._block(b).sum() for b in cm._pieces(text, np.zeros(len(text) + 1, np.int64), 300)) == pytest.approx(whole)
 
 
+def test_tables_have_room():
+    assert cm.SLOTS >= 1 << 20 and cm.count_words([b"a"], [0]).shape == (cm.PREDICTORS, cm.SLOTS, 2)
+
+
 # Near duplicates
 
 

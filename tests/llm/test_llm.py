@@ -344,6 +344,28 @@ def test_pieces_of_a_long_text_have_its_bits():
     assert sum(m._block(b).sum() for b in cm._pieces(text, np.zeros(len(text) + 1, np.int64), 300)) == pytest.approx(whole)
 
 
+def test_classes_are_settled_along_the_text(spark):
+    """A text that turns into another kind after its opening changes its class, by the tokens before alone."""
+    kinds = ["the cat sat on the mat and the dog ran", "0x1f 0x2e 0x99 0xab 0xcd 0x77 0x31"]
+    learn = spark.createDataFrame([(" ".join([kinds[k % 2]] * (20 + k)),) for k in range(20)], "text string")
+    centres = lm_scoring.train_kinds(learn)
+    turning = " ".join([kinds[0]] * 20 + [kinds[1]] * 400)
+    spans = next(lm_scoring.spans_of([lm_scoring.tokens(turning)], centres))
+    assert spans[0] == (0, 0, 12) and [b - a for _, a, b in spans[2:-1]] == [64] * (len(spans) - 3)
+    late = {c for c, a, _ in spans if a > 2000}
+    assert late and not late & {c for c, a, _ in spans if 12 <= a < 190}
+    short = next(lm_scoring.spans_of([lm_scoring.tokens(turning)[:1000]], centres))
+    assert [c for c, _, _ in short] == [c for c, _, _ in spans][: len(short)]
+
+
+def test_profiles_along_go_on_between_parts(monkeypatch):
+    text = b"abc de fghij klm no pqrst uvw x yz " * 30
+    offsets = np.arange(7, len(text), 7)
+    whole = np.concatenate(list(lm_scoring.profiles_along(text, offsets)))
+    monkeypatch.setattr(lm_scoring, "PROFILE_ROWS", 3)
+    assert np.allclose(np.concatenate(list(lm_scoring.profiles_along(text, offsets))), whole)
+
+
 def test_tables_have_room():
     assert cm.SLOTS >= 1 << 20 and cm.count_words([b"a"], [0]).shape == (cm.PREDICTORS, cm.SLOTS, 2)
 

@@ -8,8 +8,8 @@ the vectors are added lane by lane modulo powers of two, so
 
 The vector has two parts. ``IDENTITY`` lanes of 62 bits hold whole-paragraph hashes. The likeness
 part holds ``3 * PACKED`` counters of 20 bits, three to a number: a paragraph adds, for each of its
-phrases (runs of up to three words, which never cross a paragraph's end), the bits of the phrase's
-hash. A counter against half the number of phrases is a sum of signs, and the correlation of two
+phrases (every run of three words side by side, so runs overlap; a line of fewer words is one phrase; no
+run crosses a paragraph's end), the bits of the phrase's hash. A counter against half the number of phrases is a sum of signs, and the correlation of two
 such vectors estimates the cosine of the phrase multisets. Beyond 2**20 phrases a counter carries
 into its neighbour: equality and additivity still hold, likeness is then only rough.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import staged, text_or_empty
+from cutloom.llm.common import WORD_PATTERN, staged, text_or_empty
 
 IDENTITY = 4
 PACKED = 20
@@ -31,7 +31,7 @@ IDENTITY_MASK = (1 << 62) - 1
 PACKED_MASK = (1 << 60) - 1
 LANE_MASK = (1 << LANE_BITS) - 1
 SPREAD = 1 | 1 << LANE_BITS | 1 << (2 * LANE_BITS)
-PHRASE = r"[^\x20\x09-\x0D]+(?:[\x20\x09]+[^\x20\x09-\x0D]+){0,2}"
+PHRASE_WORDS = 3
 
 
 def _shift(x: Column, bits: int) -> Column:
@@ -42,9 +42,17 @@ def _masked_sum(values: Column, mask: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: (acc + x).bitwiseAND(F.lit(mask).cast("long")))
 
 
+def phrase_hashes(text: Column) -> Column:
+    """array<long>: a hash for every run of ``PHRASE_WORDS`` words of a line, or of all words of a shorter line."""
+    words = F.transform(F.split(text, r"[\x0A-\x0D]+", -1), lambda line: F.regexp_extract_all(line, F.lit(WORD_PATTERN), F.lit(0)))
+    words = F.filter(words, lambda w: F.size(w) > 0)
+    runs = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - PHRASE_WORDS, F.lit(0)))
+    return F.flatten(F.transform(words, lambda w: F.transform(runs(w), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(PHRASE_WORDS)]))))
+
+
 def vector(text: Column) -> Column:
     """array<long>: identity lanes, then packed counters, then the number of phrases."""
-    phrases = F.transform(F.regexp_extract_all(text, F.lit(PHRASE), F.lit(0)), lambda p: F.xxhash64(p))
+    phrases = phrase_hashes(text)
     paragraphs = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
 
     def identity(lane: int, s: Column) -> Column:

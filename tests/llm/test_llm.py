@@ -427,6 +427,17 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(brute_links(source))
 
 
+def test_near_duplicates_in_empty_blocks(spark, monkeypatch):
+    """More blocks than texts, so that most pairs of blocks have an empty one."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 60)
+    words = [f"w{k}" for k in range(300)]
+    source = [(k, " ".join([*words[:-1], f"last{k}"])) for k in range(2)] + [(9, " ".join(words[:50]))]
+    d = spark.createDataFrame(source, "doc_id bigint, text string")
+    got = [(r.doc_id, r.class_id, r.n_links, r.n_texts) for r in jaccard_join.near_duplicates(d).collect()]
+    assert sorted(x[:3] for x in got) == sorted(brute_links(source))
+    assert sorted(x[3] for x in got) == [0, 1, 1]
+
+
 def test_near_duplicates_odd(spark, odd, none):
     source = [(r[0], r[1] or "") for r in ODD]
     got = jaccard_join.near_duplicates(clashing(odd)).collect()
@@ -487,6 +498,15 @@ def test_fingerprints_odd(spark, odd, none):
     assert fingerprints.edited_fingerprints(one, shared_dir(spark)).first().edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_likeness_of_a_copy_with_a_word_more(spark):
+    line = " ".join(f"w{k * k % 997}x{k}" for k in range(300))
+    other = " ".join(f"v{k}" for k in range(300))
+    d = spark.createDataFrame([(line, "first " + line, line.replace(" w4x2 ", " w4x2 inserted "), other)], "x string, y string, z string, o string")
+    v = fingerprints.vector
+    r = d.select(*[fingerprints.likeness(v(F.col("x")), v(F.col(c))).alias(c) for c in "yzo"], F.element_at(v(F.col("x")), -1).alias("n")).first()
+    assert r.y > 0.95 and r.z > 0.95 and r.o < 0.6 and r.n == 298
+
+
 def test_fingerprint_algebra(spark):
     d = spark.createDataFrame([("a b\nc d e\nf", "f\na b\nc d e", "a b\nc d e", "f")], "x string, y string, z string, w string")
     v = fingerprints.vector

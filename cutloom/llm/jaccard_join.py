@@ -202,18 +202,19 @@ def component_roots(linked: np.ndarray, same: bool) -> np.ndarray:
 
 
 def compare(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``texts`` (cluster, pair, side, class_no, copies, text) -> class_no, n_texts, n_links, joined_to, per block pair.
+    """``texts`` (cluster, pair, same, side, class_no, copies, text) -> class_no, n_texts, n_links, joined_to, per block pair.
 
+    ``same`` tells a block paired with itself; of two blocks one may be empty, and then there is nothing to link.
     Rows must come sorted by cluster and pair within their partition; one pair of blocks is held at a time.
     """
     schema = "class_no long, n_texts long, n_links long, joined_to long"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        key, held = None, ([], [])
+        key, held, alone = None, ([], []), False
 
         def done() -> pa.RecordBatch:
-            (left, right), same = held, not held[1]
+            (left, right), same = held, alone
             sides = [[x[0] for x in left], [x[0] for x in (left if same else right)]]
             linked = count_links([x[2] for x in left], [x[2] for x in (left if same else right)], same, threshold)
             copies = [np.array([x[1] for x in left], np.int64), np.array([x[1] for x in (left if same else right)], np.int64)]
@@ -233,14 +234,14 @@ def compare(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             )
 
         for batch in batches:
-            for cluster, pair, side, no, copies, text in zip(*(batch.column(c).to_pylist() for c in ("cluster", "pair", "side", "class_no", "copies", "text")), strict=True):
+            for cluster, pair, same, side, no, copies, text in zip(*(batch.column(c).to_pylist() for c in ("cluster", "pair", "same", "side", "class_no", "copies", "text")), strict=True):
                 if (cluster, pair) != key:
-                    if key is not None:
+                    if alone or all(held):
                         yield done()
-                    key, held = (cluster, pair), ([], [])
+                    key, held, alone = (cluster, pair), ([], []), same
                 if not held[side] or held[side][-1][0] != no:  # copies that share their id come side by side
                     held[side].append((no, copies, grams(text)))
-        if key is not None:
+        if alone or all(held):
             yield done()
 
     return texts.mapInArrow(verify, schema)
@@ -350,5 +351,5 @@ def _blocks(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFra
     found = text.join(wanted, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("copy_id")))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = found.select("cluster", (low * F.col("blocks") + high).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class_no", "copies", "text")
+    found = found.select("cluster", (low * F.col("blocks") + high).alias("pair"), (low == high).alias("same"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class_no", "copies", "text")
     return found.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "side", "class_no")

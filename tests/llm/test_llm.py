@@ -428,14 +428,14 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
 
 
 def test_near_duplicates_in_empty_blocks(spark, monkeypatch):
-    """More blocks than texts, so that most pairs of blocks have an empty one."""
-    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 60)
+    """About as many blocks as texts, so that some blocks hold several texts and others none."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 300)
     words = [f"w{k}" for k in range(300)]
-    source = [(k, " ".join([*words[:-1], f"last{k}"])) for k in range(2)] + [(9, " ".join(words[:50]))]
+    source = [(k, " ".join([*words[:-1], f"last{k}"])) for k in range(30)]
     d = spark.createDataFrame(source, "doc_id bigint, text string")
     got = [(r.doc_id, r.class_id, r.n_links, r.n_texts) for r in jaccard_join.near_duplicates(d).collect()]
     assert sorted(x[:3] for x in got) == sorted(brute_links(source))
-    assert sorted(x[3] for x in got) == [0, 1, 1]
+    assert {x[3] for x in got} == {29}
 
 
 def test_near_duplicates_odd(spark, odd, none):

@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from cutloom.llm.common import shared_dir, small_batches, staged
 
 UNIT = 64
-CUT_BITS = 13
-LEAST, MOST = 2048, 65536
+CUT_BITS = 12
+LEAST, MOST = 1024, 32768
+#: The documents are stored in so many batches; what a batch shares with those before is not stored again.
+BATCHES = 2
 WINDOW = 32
 RATE_HZ = 8000
 HEADER_BYTES = 44
@@ -102,22 +104,23 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_digest (SHA-256), digests (in order)."""
+    """doc_id, n_bytes, payload_bytes, payload_digest (SHA-256), written_digest (of the media form), digests (in order)."""
     rows = _texts(docs)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_digest binary, digests array<binary>"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_digest binary, written_digest binary, digests array<binary>"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, size, whole, parts = [], [], [], []
+            n, size, whole, media, parts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 payload = payload_of(text)
                 n.append(len((text or "").encode()))
                 size.append(len(payload))
                 whole.append(hashlib.sha256(payload).digest())
+                media.append(hashlib.sha256(wav_header(len(payload)) + payload).digest())
                 parts.append([chunk_digest(c) for c in chunks_of(payload)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(whole, pa.binary()), pa.array(parts, pa.list_(pa.binary()))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_digest", "digests"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(whole, pa.binary()), pa.array(media, pa.binary()), pa.array(parts, pa.list_(pa.binary()))],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_digest", "written_digest", "digests"],
             )
 
     return rows.mapInArrow(write, schema)
@@ -189,7 +192,7 @@ class ChunkStore:
         """digest, packed. Parts are joined apart, as a union of bucketed tables is not bucketed."""
         found = self.spark.table(self.tables[0])
         for name in self.tables[1:]:
-            found = found.unionAll(self.spark.read.parquet(f"{self.at}/{name}"))
+            found = found.unionAll(self.spark.read.schema(found.schema).parquet(f"{self.at}/{name}"))
         return found
 
     def read_back(self, recipe: DataFrame) -> DataFrame:
@@ -249,11 +252,13 @@ def media_columns(docs: DataFrame) -> DataFrame:
     at = shared_dir(spark)
     recipe = staged(recipes(docs), f"{at}/recipes")
     store = ChunkStore(spark, f"{at}/chunks", chunk_dictionary(docs))
-    store.add(docs)
-    release_shuffles(spark)
+    for k in range(BATCHES):
+        store.add(docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(BATCHES)) == k))
+        release_shuffles(spark)
     back = store.read_back(recipe)
-    found = recipe.select("doc_id", "n_bytes", "payload_bytes", "payload_digest").join(back, "payload_digest")
+    found = recipe.select("doc_id", "n_bytes", "payload_bytes", "payload_digest", "written_digest").join(back, "payload_digest")
+    same = F.col("media_digest") == F.col("written_digest")
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32",
-        (F.col("payload_bytes") + HEADER_BYTES).alias("media_bytes"), F.lower(F.hex("media_digest")).alias("media_sha256"), "feature",
+        (F.col("payload_bytes") + HEADER_BYTES).alias("media_bytes"), F.when(same, F.lower(F.hex("media_digest"))).otherwise(F.raise_error(F.lit("media was read back otherwise")).cast("string")).alias("media_sha256"), "feature",
     )

@@ -225,6 +225,19 @@ def test_store_adds_only_new_chunks(spark, docs):
     assert sizes[1] == 0 and spark.table(store.tables[0]).select("digest").distinct().count() == sizes[0]
 
 
+def test_media_batches_share_chunks(spark, monkeypatch):
+    """Documents come in batches, and a later one stores only what the earlier lack; 1 KB passages are found in short texts."""
+    stores = []
+    add = media.ChunkStore.add
+    monkeypatch.setattr(media.ChunkStore, "add", lambda self, d: (stores.append(self), add(self, d))[1])
+    passage = " ".join(f"w{k * k}" for k in range(8000))
+    d = spark.createDataFrame([(k, f"{k} " + passage) for k in range(12)], "doc_id bigint, text string")
+    assert media.media_columns(d).count() == 12
+    parts = [{r.digest for r in spark.table(t).select("digest").collect()} for t in stores[0].tables]
+    assert len(parts) > 1 and all(parts) and not set.intersection(*parts)
+    assert len(parts[1]) < len(parts[0]) and media.LEAST <= 1024
+
+
 # Mixing
 
 

@@ -6,12 +6,14 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cutloom.llm import components, fingerprints, jaccard_join, langid, line_dedup, lm_scoring, media, mixing, packing, quality, queries, secrets
@@ -313,28 +315,158 @@ def test_lm_odd(odd, none):
     assert lm_scoring.score(none).count() == 0
 
 
-def test_bits_are_a_distribution():
-    words = [b"the", b"then", b"cat", b"cab", b"a"]
-    classes = np.zeros(5, np.int64)
-    m = cm.fit(cm.count_words(words, classes), words, classes)
-    next_bytes = [bytes([b]) for b in range(256) if b != 32]
-    # Beginnings of one byte: all continuations of the empty word, the end mark included, share all.
-    codes = np.arange(256, dtype=np.uint8)
-    total = 0.0
-    for b in codes:
-        block = cm.block_of([bytes([b])] if b != 32 else [b""], np.zeros(1, np.int64))
-        place = np.minimum(block.place, cm.PLACES - 1)
-        p = 1.0
-        for _, node, bit in cm.bits_of(block):
-            slots = cm._slots(block, node)
-            x = [m.odds[k][s] for k, s in enumerate(slots)]
-            reach = np.zeros(len(bit), np.int64)
-            for k, s in enumerate(slots):
-                reach[m.seen[k][s]] = k + 1
-            one = m._mixed(x, place, reach, node)[0]
-            p *= one if bit[0] else 1 - one
-        total += p
-    assert total == pytest.approx(1.0) and len(next_bytes) == 255
+def lm_model(texts, slot_bits=12, words=20):
+    """Codes, states and mixer of the token lists ``texts``."""
+    c = collections.Counter(w for t in texts for w in t)
+    common = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:words]
+    rest = collections.Counter({w: n for w, n in c.items() if (w, n) not in common})
+    of_bytes = [0] * 256
+    for w, n in rest.items():
+        for b in w + b" ":
+            of_bytes[b] += n
+    codes = cm.Codes([w for w, _ in common], [n for _, n in common], rest.total(), of_bytes)
+    counts = cm.Counts(slot_bits, slot_bits)
+    counts.add(texts, codes)
+    learner = cm.Learner(cm.States.of(counts))
+    learner.learn(texts, codes)
+    return codes, learner.states, learner.mixer
+
+
+def scores_of(model, texts):
+    codes, states, mixer = model
+    return mixer.log_probabilities(texts, codes, states, cm.cell_table()[states.turns])
+
+
+WORDS = [f"w{k}".encode() for k in range(60)]
+
+
+@pytest.fixture(scope="module")
+def lm_texts():
+    rng = random.Random(3)
+    return [[*rng.choices(WORDS, [1 / (k + 1) for k in range(60)], k=rng.randrange(60)), lm_scoring.END] for _ in range(80)]
+
+
+def brute_log_probability(text, model):
+    """The natural log of a text's probability, bit by bit and without any array over bits."""
+    (codes, states, mixer), total = model, 0.0
+    u64 = lambda x: np.array([x % (1 << 64)], np.uint64)
+    mixed = lambda x: int(cm._mixed(u64(x))[0])
+    short = lambda x, seed: int(cm._short(u64(x), seed)[0])
+    names = [mixed(codes.place[w] + 1 if w in codes.place else xxhash.xxh3_64_intdigest(w) + 1) for w in text]
+    costs = mixer.costs()
+    path = lambda tree, leaf: "".join(map(str, tree.turn[tree.start[leaf] : tree.start[leaf] + tree.length[leaf]]))
+    level = lambda n: int(np.searchsorted(cm.LEVELS, n, "right")) - 1
+    size = states.turns.shape[1].bit_length() - 1
+
+    def symbol(tree, leaf, contexts, kind, gate_of, followers=()):
+        nonlocal total
+        code = path(tree, leaf)
+        for t, c in enumerate(code):
+            x, reach = [], 0
+            for k, context in enumerate(contexts):
+                slot = (((context ^ int(tree.node[tree.start[leaf] + t])) * 0x9E3779B1) % (1 << 32)) >> (32 - size)
+                state = int(states.turns[k][slot])
+                zeros, ones = level(state & 255), level(state >> 8)
+                x.append(float(mixer.worth[kind][k][16 * ones + zeros]))
+                if kind and k >= cm.LONG and cm.LEVELS[zeros] + cm.LEVELS[ones] >= cm.TRUSTED:
+                    reach = k - cm.LONG + 1
+            for k, (times, other) in enumerate(followers):
+                theirs = path(tree, other) if times else ""
+                if times and theirs[:t] == code[:t] and t < len(theirs):
+                    sign = 1 if theirs[t] == "1" else -1
+                    x.append(sign * float(mixer.worth[0][cm.WORD_TABLES + k][level(times) * cm.DEPTHS + min(t, cm.DEPTHS - 1)]))
+                    reach = k + 1
+                else:
+                    x.append(0.0)
+            gate = gate_of(t)
+            weights = mixer.by_depth[gate] + mixer.by_reach[kind * cm.REACHES + reach]
+            z = float(np.clip(sum(w * v for w, v in zip(weights, [*x, 1.0], strict=True)), -cm.EDGE, cm.EDGE))
+            total += costs[gate, round((z + cm.EDGE) * (cm.MIX_STEPS - 1) / (2 * cm.EDGE)), int(c)]
+
+    for i, w in enumerate(text):
+        leaf = codes.place.get(w, codes.spelled)
+        very = [j for j in range(max(i - cm.REACH, 0), i) if codes.place.get(text[j], 1 << 20) < min(cm.VERY_COMMON, codes.spelled)]
+        common = names[very[-1]] if very else 0
+        fairly = names[i - 1] if i and codes.place.get(text[i - 1], 1 << 20) < min(cm.FAIRLY_COMMON, codes.spelled) else 0
+        run, followers = 0, []
+        for k in range(1, cm.FOLLOWERS + 1):
+            run = mixed(run + (names[i - k] if i >= k else 0) + k)
+            slot, check = (int(v[0]) for v in cm.places_of(u64(run), states.names.shape[1].bit_length() - 1))
+            name = int(states.names[k - 1][slot])
+            followers.append((int(states.times[k - 1][slot]) if name >> cm.LEAF_BITS == check else 0, name & ((1 << cm.LEAF_BITS) - 1)))
+        symbol(codes.words, leaf, [short(c, 2 * k + 1) for k, c in enumerate((0, common, fairly))], 0, lambda t: min(t, cm.DEPTHS - 1), followers)
+        if leaf == codes.spelled:
+            spelling = w + b" "
+            for place, byte in enumerate(spelling):
+                contexts = []
+                for k, (order, joined) in enumerate(cm.BYTE_ORDERS):
+                    last = 0
+                    for back in range(1, order + 1):
+                        last = last * 257 + (spelling[place - back] + 1 if place >= back else 0)
+                    contexts.append(short(mixed(last) + (common if joined else 0), 2 * k + 102))
+                symbol(codes.bytes, byte, contexts, 1, lambda t, at=place: cm.DEPTHS + 2 * min(at, cm.PLACES - 1) + (t > 2))
+    return total
+
+
+def test_lm_scores_equal_a_plain_reimplementation(lm_texts):
+    model = lm_model(lm_texts)
+    new = [[b"w1", b"unknown", b"w2", b"w2", b"\xc3\xa9t\xc3\xa9", lm_scoring.END], [lm_scoring.END], lm_texts[3]]
+    assert scores_of(model, new) == pytest.approx([brute_log_probability(t, model) for t in new], abs=0.05)
+
+
+def test_bits_are_a_distribution(lm_texts):
+    """After the same tokens, the probabilities of all leaves of either tree sum to 1."""
+    codes, states, mixer = model = lm_model(lm_texts)
+    head = lm_texts[5][:-1]
+    before = scores_of(model, [head])[0]
+    known = [w for w in codes.place]
+    after = scores_of(model, [[*head, w] for w in known])
+    spelled = scores_of(model, [[*head, bytes([b])] for b in range(256) if b != cm.BLANK and bytes([b]) not in codes.place])
+    total = np.exp(after - before).sum()
+    assert total < 1 and np.exp(spelled - before).sum() <= 1 - total + 1e-6
+    # Given that it is spelled, the first byte is one of all bytes.
+    first = [b for b in cm.bits_of([[*head, b"zz"]], codes, states.turns.shape[1].bit_length() - 1) if b.leaf is None]
+    assert first and codes.bytes.length.shape == (256,) and (0.5 ** codes.bytes.length.astype(float)).sum() == pytest.approx(1.0)
+    assert (0.5 ** codes.words.length.astype(float)).sum() == pytest.approx(1.0)
+    assert np.exp(mixer.costs()).sum(-1) == pytest.approx(1.0)
+
+
+def test_counts_are_those_of_all_tokens(lm_texts):
+    """The followers and the turns at the root are what counting token by token gives."""
+    codes, _, _ = lm_model(lm_texts)
+    counts = cm.Counts(12, 16)
+    counts.add(lm_texts[:40], codes)
+    counts.add(lm_texts[40:], codes)
+    counts.settle()
+    n = sum(map(len, lm_texts))
+    root = next(cm.bits_of([lm_texts[0]], codes, 12)).slots[0][0]
+    assert counts.turns[0][root].sum() >= n
+    after = collections.defaultdict(collections.Counter)
+    for t in lm_texts:
+        for a, b in zip([None, *t], t, strict=False):
+            after[a][codes.place.get(b, codes.spelled)] += 1
+    bits = next(cm.bits_of([lm_texts[0]], codes, 12))
+    slot, check = cm.places_of(bits.before[0], 16)
+    for a, at, mark in zip([None, *lm_texts[0]], slot.tolist(), check.tolist(), strict=False):
+        name = int(counts.names[0][at])
+        if name >> cm.LEAF_BITS == mark:
+            leaf = name & ((1 << cm.LEAF_BITS) - 1)
+            assert after[a][leaf] >= counts.times[0][at]
+
+
+def test_followers_are_merged_by_sums():
+    names, times = cm.merged_followers(np.array([[7, 1, 0], [9, 1, 0], [9, 2, 5]], np.uint32), np.array([[3, 1, 0], [2, 1, 0], [2, 1, 1]], np.uint32))
+    assert names.tolist() == [9, 1, 5] and times.tolist() == [4, 2, 1]
+
+
+def test_own_counts_are_taken_away():
+    """What only the text itself has shown is unseen in learning; the beginning of a text it shares with others."""
+    text = [f"x{k}".encode() for k in range(50)]
+    codes, states, _ = lm_model([text, text[::-1]], 16, 60)
+    bits = next(cm.bits_of([text], codes, 16))
+    begun = bits.length[0]
+    assert all((cell[begun:] == 0).all() for cell, _ in cm.follows_of(bits, codes, states, 1)[1:])
+    assert all((cell[begun:] > 0).any() for cell, _ in cm.follows_of(bits, codes, states)[1:])
 
 
 def test_lm_sees_the_order_of_words(spark):
@@ -349,38 +481,20 @@ def test_lm_sees_the_order_of_words(spark):
     assert got[out[0]].score > got[out[1]].score + 10
 
 
-def test_pieces_of_a_long_text_have_its_bits():
-    text = b" ".join(b"%x" % (k * k) for k in range(2000))
-    counts = cm.count_words([text], [0])
-    m = cm.fit(counts, [text[:5000]], [0], rounds=1)
-    whole = m._block(cm.block_of([text], [0])).sum()
-    assert sum(m._block(b).sum() for b in cm._pieces(text, np.zeros(len(text) + 1, np.int64), 300)) == pytest.approx(whole)
+def test_pieces_of_a_long_text_have_its_bits(lm_texts, monkeypatch):
+    model = lm_model(lm_texts)
+    long = [w for t in lm_texts for w in t] + [b"%x" % (k * k) for k in range(400)]
+    whole = scores_of(model, [long, lm_texts[1]])
+    monkeypatch.setattr(cm, "PIECE_TOKENS", 37)
+    monkeypatch.setattr(cm, "PIECE_BYTES", 23)
+    assert scores_of(model, [long, lm_texts[1]]) == pytest.approx(whole)
 
 
-def test_classes_are_settled_along_the_text(spark):
-    """A text that turns into another kind after its opening changes its class, by the tokens before alone."""
-    kinds = ["the cat sat on the mat and the dog ran", "0x1f 0x2e 0x99 0xab 0xcd 0x77 0x31"]
-    learn = spark.createDataFrame([(" ".join([kinds[k % 2]] * (20 + k)),) for k in range(20)], "text string")
-    centres = lm_scoring.train_kinds(learn)
-    turning = " ".join([kinds[0]] * 20 + [kinds[1]] * 400)
-    spans = next(lm_scoring.spans_of([lm_scoring.tokens(turning)], centres))
-    assert spans[0] == (0, 0, 12) and [b - a for _, a, b in spans[2:-1]] == [64] * (len(spans) - 3)
-    late = {c for c, a, _ in spans if a > 2000}
-    assert late and not late & {c for c, a, _ in spans if 12 <= a < 190}
-    short = next(lm_scoring.spans_of([lm_scoring.tokens(turning)[:1000]], centres))
-    assert [c for c, _, _ in short] == [c for c, _, _ in spans][: len(short)]
-
-
-def test_profiles_along_go_on_between_parts(monkeypatch):
-    text = b"abc de fghij klm no pqrst uvw x yz " * 30
-    offsets = np.arange(7, len(text), 7)
-    whole = np.concatenate(list(lm_scoring.profiles_along(text, offsets)))
-    monkeypatch.setattr(lm_scoring, "PROFILE_ROWS", 3)
-    assert np.allclose(np.concatenate(list(lm_scoring.profiles_along(text, offsets))), whole)
-
-
-def test_tables_have_room():
-    assert cm.SLOTS >= 1 << 20 and cm.count_words([b"a"], [0]).shape == (cm.PREDICTORS, cm.SLOTS, 2)
+def test_lm_is_ahead_of_the_base_on_held_out_text(spark, sf):
+    """The model's probabilities, which sum to one, against the base's, which don't."""
+    at = sf.replace("sf0.001", "sf0.01")
+    got = queries.op7_lm_scoring(spark, at).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert got.score / got.n > got.base / got.n + 0.2
 
 
 # Near duplicates

@@ -1,30 +1,30 @@
 """Media columns: texts as 8-bit samples in a store of content-defined chunks.
 
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the payload. Its media
-form is a mono 8-bit PCM WAV file: a header of 44 bytes that follows from the length, and the
+form is a mono 8-bit PCM WAV file: a header of 44 bytes, which is stored with the recipe, and the
 payload as samples. Payloads are cut where a rolling gear hash has ``CUT_BITS`` leading zeros (between
 ``LEAST`` and ``MOST`` bytes), so equal passages give equal chunks wherever they stand.
 
-* ``recipes``: per document the ordered list of its chunk digests, with lengths and the payload's digest.
-* ``ChunkStore``: chunk digests are deduplicated by joins (new ones are those that the store's digests
-  do not match) and each distinct chunk is kept once, compressed with a small shared dictionary, in
-  a table bucketed by digest.
-* ``read_back``: recipes of distinct payloads are joined with the store on the digest, gathered per
-  payload in order, decompressed and put together; the payload's SHA-256 must match or the job fails.
+* ``recipes``: per document the ordered list of its chunk digests, with lengths, header and digests.
+* ``ChunkStore``: chunk digests are deduplicated by joins. Of the payloads that hold a chunk the first one owns
+  it, unless a join with the store finds it there already. Only digests move for that; then each distinct payload
+  goes to its place once and writes the chunks it owns, compressed with a small shared dictionary. Chunks that
+  other payloads need as well are marked as shared.
+* ``read_back``: recipes of distinct payloads meet their own chunks where these lie, and the shared ones by a join on the
+  digest; they are decompressed and put together in order. A chunk that is missing, or a digest that does not match, fails the job.
 
-Copies of a payload have one recipe to read back, whatever their number, and a chunk that many
-payloads share is one row of the store. A task keeps one payload in memory at a time.
+Copies of a payload have one recipe to read back, whatever their number; a chunk that many payloads
+share is one row, and both sides of its join are plain shuffles, which Spark can split. A task keeps one payload in memory at a time.
 
-Defined results: null text is empty, and an empty text is 64 zero bytes; equal texts have equal
-values; repeated rows each get a row; an empty table gives an empty result; only id and text are read.
+Defined results: null text is empty, and an empty text is 64 zero bytes; a text of any length is cut
+whole; equal texts have equal values (ties); repeated rows each get a row; an empty table gives an empty result;
+only id and text are read, so columns of clashing names do not matter.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
-import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,12 +40,11 @@ from cutloom.llm.common import shared_dir, small_batches, staged
 UNIT = 64
 CUT_BITS = 12
 LEAST, MOST = 1024, 32768
-#: The documents are stored in so many batches; what a batch shares with those before is not stored again.
-BATCHES = 2
 WINDOW = 32
 RATE_HZ = 8000
 HEADER_BYTES = 44
-LEVEL = 15
+#: Compression of stored chunks, and of texts on their way to the store.
+LEVEL, WAY_LEVEL = 15, 3
 DICTIONARY_BYTES = 110_000
 DICTIONARY_TEXTS = 3000
 SAMPLE_BYTES = 8192
@@ -104,43 +103,58 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_digest (SHA-256), written_digest (of the media form), digests (in order)."""
+    """doc_id, n_bytes, payload_bytes, payload_digest (SHA-256), header, media_digest (SHA-256 of header and payload), digests (in order)."""
     rows = _texts(docs)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_digest binary, written_digest binary, digests array<binary>"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_digest binary, header binary, written_digest binary, digests array<binary>"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, size, whole, media, parts = [], [], [], [], []
+            n, size, whole, headers, media, parts = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 payload = payload_of(text)
                 n.append(len((text or "").encode()))
                 size.append(len(payload))
                 whole.append(hashlib.sha256(payload).digest())
-                media.append(hashlib.sha256(wav_header(len(payload)) + payload).digest())
+                headers.append(wav_header(len(payload)))
+                media.append(hashlib.sha256(headers[-1] + payload).digest())
                 parts.append([chunk_digest(c) for c in chunks_of(payload)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(whole, pa.binary()), pa.array(media, pa.binary()), pa.array(parts, pa.list_(pa.binary()))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_digest", "written_digest", "digests"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), *[pa.array(x, pa.binary()) for x in (whole, headers, media)], pa.array(parts, pa.list_(pa.binary()))],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_digest", "header", "written_digest", "digests"],
             )
 
     return rows.mapInArrow(write, schema)
 
 
 def chunk_dictionary(docs: DataFrame) -> bytes:
-    """A compression dictionary from a bounded sample of texts; empty if they are too few."""
+    """A compression dictionary from a bounded sample of texts, the same on every run; empty if they are too few."""
     many = docs.count()
-    cut = int(min(1.0, DICTIONARY_TEXTS / max(many, 1)) * (1 << 30))
-    drawn = docs.select(F.col("text").cast("string").alias("t")).where(F.pmod(F.xxhash64(F.lit(11), "t"), F.lit(1 << 30)) < cut)
+    cut = int(min(1.0, DICTIONARY_TEXTS / max(many, 1)) * (1 << 62))
+    drawn = docs.select(F.col("text").cast("string").alias("t")).withColumn("draw", F.xxhash64(F.lit(11), "t").bitwiseAND(F.lit((1 << 62) - 1))).where(F.col("draw") <= cut)
     # The pieces are samples for the dictionary, not results; each is short so that many texts fit.
-    pieces = [r[0].encode()[:SAMPLE_BYTES] for r in drawn.select(F.substring("t", 1, SAMPLE_BYTES)).limit(4 * DICTIONARY_TEXTS).collect() if r[0]]
+    drawn = drawn.select("draw", F.substring("t", 1, SAMPLE_BYTES).alias("piece")).distinct().orderBy("draw", "piece").limit(2 * DICTIONARY_TEXTS)
+    pieces = [r["piece"].encode()[:SAMPLE_BYTES] for r in drawn.collect() if r["piece"]]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(pieces)).as_bytes() if len(pieces) >= 64 else b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes() if len(pieces) >= 64 else b""
     except zstandard.ZstdError:
         return b""
 
 
+def compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+    shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=False, write_dict_id=False)
+
+
+def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
 class ChunkStore:
-    """Distinct chunks by digest, in bucketed tables of the shared folder."""
+    """Distinct chunks in tables of the shared folder, one for each batch of documents added.
+
+    A row has the chunks that one payload owns: payload_digest, digests, packed, shared. The tables are bucketed by
+    the payload and divided by ``shared``.
+    """
 
     def __init__(self, spark: SparkSession, at: str | None = None, dictionary: bytes = b"", buckets: int | None = None):
         self.spark, self.dictionary = spark, dictionary
@@ -149,100 +163,113 @@ class ChunkStore:
         self.tag = uuid.uuid4().hex[:12]
         self.tables: list[str] = []
 
-    def add(self, docs: DataFrame) -> None:
-        """Store the chunks that no table holds yet. A task sends each chunk once; the last to decide is the join."""
+    def digests(self) -> DataFrame:
+        """digest of every chunk stored."""
+        found = self.spark.createDataFrame([], "digest binary")
+        for name in self.tables:
+            found = found.unionAll(self.spark.table(name).select(F.explode("digests").alias("digest")))
+        return found
+
+    def owners(self, recipe: DataFrame) -> DataFrame:
+        """payload_digest, owned (array of digest, shared): the new chunks of each payload that owns some."""
+        parts = recipe.select("payload_digest", "digests").dropDuplicates(["payload_digest"]).select("payload_digest", F.explode(F.array_distinct("digests")).alias("digest"))
+        first = parts.groupBy("digest").agg(F.min("payload_digest").alias("owner"), F.count(F.lit(1)).alias("n"))
+        if self.tables:
+            first = first.join(self.digests(), "digest", "left_anti")
+        return first.groupBy(F.col("owner").alias("payload_digest")).agg(F.collect_list(F.struct("digest", (F.col("n") > 1).alias("shared"))).alias("owned"))
+
+    def add(self, docs: DataFrame, recipe: DataFrame | None = None) -> None:
+        """Store the chunks of ``docs`` that no table holds yet. ``recipe``: of the same documents, staged."""
+        at, many = f"{self.at}/{len(self.tables)}", len(self.tables)
+        owners = staged(self.owners(recipe if recipe is not None else staged(recipes(docs), f"{at}-recipes")), f"{at}-owners")
         rows, dictionary = _texts(docs).select("text"), self.dictionary
 
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-            press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False, write_dict_id=False)
-            sent: set[bytes] = set()
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each payload of a task once, compressed."""
+            press, sent = compressor(dictionary, WAY_LEVEL), set()
             for batch in batches:
-                digests, packed = [], []
+                digests, frames = [], []
                 if len(sent) > 1_000_000:
                     sent.clear()
                 for text in batch.column("text").to_pylist():
-                    for chunk in chunks_of(payload_of(text)):
-                        digest = chunk_digest(chunk)
-                        if digest not in sent:
-                            sent.add(digest)
-                            digests.append(digest)
-                            packed.append(press.compress(chunk))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["digest", "packed"])
-
-        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = None
+                    payload = payload_of(text)
+                    digest = hashlib.sha256(payload).digest()
+                    if digest not in sent:
+                        sent.add(digest)
+                        digests.append(digest)
+                        frames.append(press.compress(payload))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(frames, pa.binary())], names=["payload_digest", "frame"])
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come sorted by payload; the first of each is cut, and what it owns is packed."""
+            press, unpack, last = compressor(dictionary, LEVEL), decompressor(dictionary), None
             for batch in batches:
-                keep = []
-                for i, digest in enumerate(batch.column("digest").to_pylist()):
-                    if digest != last:
-                        keep.append(i)
-                        last = digest
-                yield batch.take(pa.array(keep, pa.int32()))
-
-        fresh = rows.mapInArrow(split, "digest binary, packed binary")
-        for name in self.tables:
-            fresh = fresh.join(self.spark.table(name).select("digest"), "digest", "left_anti")
-        fresh = fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").mapInArrow(once, "digest binary, packed binary")
-        name = f"cutloom_chunks_{self.tag}_{len(self.tables)}"
-        fresh.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.at}/{name}").format("parquet").saveAsTable(name)
+                out: list[tuple] = []
+                owned = batch.column("owned")
+                for i, (digest, frame) in enumerate(zip(batch.column("payload_digest").to_pylist(), batch.column("frame").to_pylist(), strict=True)):
+                    if digest == last:
+                        continue
+                    last = digest
+                    wanted = {o["digest"]: o["shared"] for o in owned[i].as_py()}
+                    kept: dict[bool, dict[bytes, bytes]] = {False: {}, True: {}}
+                    for chunk in chunks_of(unpack.decompress(frame)):
+                        name = chunk_digest(chunk)
+                        if name in wanted and name not in kept[wanted[name]]:
+                            kept[wanted[name]][name] = press.compress(chunk)
+                    out += [(digest, list(k), list(k.values()), shared) for shared, k in kept.items() if k]
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["payload_digest", "digests", "packed", "shared"])
+
+        sent = rows.mapInArrow(send, "payload_digest binary, frame binary").repartition(self.buckets, "payload_digest")
+        meant = sent.join(owners, "payload_digest").sortWithinPartitions("payload_digest")
+        fresh = meant.mapInArrow(store, "payload_digest binary, digests array<binary>, packed array<binary>, shared boolean")
+        name = f"cutloom_chunks_{self.tag}_{many}"
+        fresh.write.partitionBy("shared").bucketBy(self.buckets, "payload_digest").option("path", f"{self.at}/{name}").format("parquet").saveAsTable(name)
         self.tables.append(name)
 
-    def chunks(self) -> DataFrame:
-        """digest, packed. Parts are joined apart, as a union of bucketed tables is not bucketed."""
-        found = self.spark.table(self.tables[0])
-        for name in self.tables[1:]:
-            found = found.unionAll(self.spark.read.schema(found.schema).parquet(f"{self.at}/{name}"))
-        return found
-
     def read_back(self, recipe: DataFrame) -> DataFrame:
-        """Per distinct payload: payload_digest, tail_crc32, media_digest (SHA-256), feature."""
+        """Per distinct payload: payload_digest, payload_bytes, tail_crc32, media_bytes, media_digest (SHA-256), feature."""
         dictionary = self.dictionary
-        distinct = recipe.groupBy("payload_digest").agg(F.first("digests").alias("digests"), F.first("payload_bytes").alias("size"))
-        wanted = distinct.select("payload_digest", "size", F.posexplode("digests").alias("nth", "digest"))
-        parts = wanted.join(self.chunks(), "digest").select("payload_digest", "size", "nth", "packed")
-        parts = parts.repartition("payload_digest").sortWithinPartitions("payload_digest", "nth")
-        schema = "payload_digest binary, tail_crc32 long, media_digest binary, feature string"
+        distinct = recipe.select("payload_digest", "header", "digests").dropDuplicates(["payload_digest"])
+        # A payload's own chunks lie in one table; shared ones, and those of earlier batches, may be anywhere.
+        away = self.spark.createDataFrame([], "digest binary, packed binary")
+        own = self.spark.createDataFrame([], "payload_digest binary, own array<struct<digest:binary,packed:binary>>")
+        for name in self.tables:
+            rows = self.spark.table(name)
+            found = rows.where("shared") if name == self.tables[-1] else rows
+            away = away.unionAll(found.select(F.explode(F.arrays_zip("digests", "packed")).alias("c")).select("c.digests", "c.packed"))
+            mine = rows.where("NOT shared").select("payload_digest", F.arrays_zip(F.col("digests").alias("digest"), "packed").alias("own"))
+            own = mine if len(self.tables) == 1 else own.unionAll(mine)  # a single bucketed table is not shuffled
+        wanted = distinct.select("payload_digest", F.explode(F.array_distinct("digests")).alias("digest"))
+        fetched = wanted.join(away, "digest").groupBy("payload_digest").agg(F.collect_list(F.struct("digest", "packed")).alias("fetched"))
+        parts = distinct.join(own, "payload_digest", "left").join(fetched, "payload_digest", "left")
+        schema = "payload_digest binary, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, feature string"
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-            unpack = zstandard.ZstdDecompressor(dict_data=shared)
-            key, pieces, rest = b"", [], 0
+            unpack = decompressor(dictionary)
             for batch in batches:
-                out: list[tuple] = []
-                for digest, size, packed in zip(*(batch.column(c).to_pylist() for c in ("payload_digest", "size", "packed")), strict=True):
-                    if digest != key:
-                        if rest:
-                            raise ValueError(f"payload {key.hex()} lacks {rest} bytes")
-                        key, pieces, rest = digest, [], size
-                    pieces.append(unpack.decompress(packed))
-                    rest -= len(pieces[-1])
-                    if not rest:
-                        out.append(verified(key, b"".join(pieces)))
-                        pieces = []
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["payload_digest", "tail_crc32", "media_digest", "feature"])
-            if rest:
-                raise ValueError(f"payload {key.hex()} lacks {rest} bytes")
+                out = []
+                for i in range(batch.num_rows):
+                    digest, header, digests, own, fetched = (batch.column(c)[i].as_py() for c in ("payload_digest", "header", "digests", "own", "fetched"))
+                    have = {x["digest"]: x["packed"] for x in (*(own or ()), *(fetched or ()))}
+                    lacks = sum(d not in have for d in digests)
+                    if lacks:
+                        raise ValueError(f"payload {digest.hex()} lacks {lacks} chunks")
+                    out.append(verified(digest, header, b"".join(unpack.decompress(have[d]) for d in digests)))
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["payload_digest", "payload_bytes", "tail_crc32", "media_bytes", "media_digest", "feature"])
 
         return parts.mapInArrow(join, schema)
 
 
-def verified(digest: bytes, payload: bytes) -> tuple:
+def verified(digest: bytes, header: bytes, payload: bytes) -> tuple:
     """The values of a payload read back; fails if it is not the one that was stored."""
     back = hashlib.sha256(payload).digest()
     if back != digest:
         raise ValueError(f"payload {digest.hex()} was read back otherwise")
-    return back, zlib.crc32(payload[-UNIT:]), hashlib.sha256(wav_header(len(payload)) + payload).digest(), features_of(payload)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let go of finished shuffles now: their files go once neither Python nor the driver's JVM holds them."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    return back, len(payload), zlib.crc32(payload[-UNIT:]), len(header) + len(payload), hashlib.sha256(header + payload).digest(), features_of(payload)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -252,13 +279,16 @@ def media_columns(docs: DataFrame) -> DataFrame:
     at = shared_dir(spark)
     recipe = staged(recipes(docs), f"{at}/recipes")
     store = ChunkStore(spark, f"{at}/chunks", chunk_dictionary(docs))
-    for k in range(BATCHES):
-        store.add(docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(BATCHES)) == k))
-        release_shuffles(spark)
+    store.add(docs, recipe)
+    return described(recipe, store)
+
+
+def described(recipe: DataFrame, store: ChunkStore) -> DataFrame:
+    """The values of every document of ``recipe``, all of stored bytes read back; fails if some are missing or not those written."""
     back = store.read_back(recipe)
-    found = recipe.select("doc_id", "n_bytes", "payload_bytes", "payload_digest", "written_digest").join(back, "payload_digest")
-    same = F.col("media_digest") == F.col("written_digest")
+    found = recipe.select("doc_id", "n_bytes", "payload_digest", "written_digest").join(back, "payload_digest", "left")
+    same = F.coalesce(F.col("media_digest") == F.col("written_digest"), F.lit(False))
     return found.select(
-        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32",
-        (F.col("payload_bytes") + HEADER_BYTES).alias("media_bytes"), F.when(same, F.lower(F.hex("media_digest"))).otherwise(F.raise_error(F.lit("media was read back otherwise")).cast("string")).alias("media_sha256"), "feature",
+        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32", "media_bytes",
+        F.when(same, F.lower(F.hex("media_digest"))).otherwise(F.raise_error(F.lit("media was not read back as written")).cast("string")).alias("media_sha256"), "feature",
     )

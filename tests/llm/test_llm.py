@@ -219,25 +219,69 @@ def test_cuts_follow_content():
     assert first is None or media.cut_points(body[:3000])[0] == first
 
 
+def stored(spark, name):
+    return collections.Counter(d for r in spark.table(name).select("digests").collect() for d in map(bytes, r.digests))
+
+
 def test_store_adds_only_new_chunks(spark, docs):
     store = media.ChunkStore(spark)
     store.add(docs)
     store.add(docs)
-    sizes = [spark.table(t).count() for t in store.tables]
-    assert sizes[1] == 0 and spark.table(store.tables[0]).select("digest").distinct().count() == sizes[0]
+    assert spark.table(store.tables[1]).count() == 0 and set(stored(spark, store.tables[0]).values()) == {1}
 
 
-def test_media_batches_share_chunks(spark, monkeypatch):
-    """Documents come in batches, and a later one stores only what the earlier lack; 1 KB passages are found in short texts."""
-    stores = []
-    add = media.ChunkStore.add
-    monkeypatch.setattr(media.ChunkStore, "add", lambda self, d: (stores.append(self), add(self, d))[1])
+def passages():
     passage = " ".join(f"w{k * k}" for k in range(8000))
-    d = spark.createDataFrame([(k, f"{k} " + passage) for k in range(12)], "doc_id bigint, text string")
-    assert media.media_columns(d).count() == 12
-    parts = [{r.digest for r in spark.table(t).select("digest").collect()} for t in stores[0].tables]
-    assert len(parts) > 1 and all(parts) and not set.intersection(*parts)
-    assert len(parts[1]) < len(parts[0]) and media.LEAST <= 1024
+    return [(k, f"{k} " + passage) for k in range(12)]
+
+
+def test_chunks_are_stored_once_and_read_back(spark):
+    """Texts that share passages share chunks, within a batch and between batches."""
+    d = spark.createDataFrame(passages(), "doc_id bigint, text string")
+    store = media.ChunkStore(spark)
+    store.add(d.where("doc_id < 6"))
+    first = stored(spark, store.tables[0])
+    assert spark.table(store.tables[0]).where("shared").count() > 0
+    store.add(d.where("doc_id >= 6"))
+    second = stored(spark, store.tables[1])
+    assert set((first + second).values()) == {1} and 0 < len(second) < len(first)
+    want = {c for _, t in passages() for c in map(media.chunk_digest, media.chunks_of(media.payload_of(t)))}
+    assert set(first) | set(second) == want
+    recipe = media.recipes(d)
+    got = {r.doc_id: r for r in media.described(recipe, store).collect()}
+    assert all(got[i].payload_sha256 == hashlib.sha256(media.payload_of(t)).hexdigest() for i, t in passages())
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_a_missing_chunk_fails(spark, shared):
+    """A store that has lost rows fails the job, if the chunk is shared and if a payload has lost all that it owns."""
+    d = spark.createDataFrame([*passages(), (99, "alone " * 50)], "doc_id bigint, text string")
+    recipe = media.recipes(d)
+    store = media.ChunkStore(spark)
+    store.add(d, recipe)
+    whole = spark.table(store.tables[0])
+    gone = whole.where("shared" if shared else "NOT shared").limit(1).select("payload_digest", "shared")
+    left = whole.join(gone, ["payload_digest", "shared"], "left_anti").select(*whole.columns)
+    name = store.tables[0] + "_left"
+    left.write.partitionBy("shared").bucketBy(store.buckets, "payload_digest").option("path", f"{store.at}/{name}").format("parquet").saveAsTable(name)
+    store.tables = [name]
+    with pytest.raises(Exception, match="lacks"):
+        media.described(recipe, store).collect()
+
+
+def test_ordinary_texts_are_cut(texts):
+    """Texts of 2 KB have more than one chunk on average."""
+    sizes = [len(media.chunks_of(media.payload_of(t))) for _, t in texts if 1500 <= len(t) <= 3000]
+    assert sizes and np.mean(sizes) > 1
+
+
+def test_features_equal_brute_force():
+    for text in ("", "a", "plain text, twice. " * 40, "日本語 😀 " * 9):
+        x = list(media.payload_of(text))
+        mean = sum(x) / len(x)
+        cross = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:], strict=False)) / len(x)
+        shares = ",".join(f"{sum(v // 32 == k for v in x) / len(x):.4f}" for k in range(8))
+        assert media.features_of(bytes(x)) == f"mean={mean:.4f};std={math.sqrt(sum((v - mean) ** 2 for v in x) / len(x)):.4f};cross={cross:.6f};levels={shares}"
 
 
 # Mixing

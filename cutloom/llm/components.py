@@ -2,7 +2,10 @@
 
 Every node points to the least node it knows of; a round makes each node's larger neighbours point
 to that node's least neighbour, then its smaller ones. The number of rounds grows with the logarithm
-of the longest chain. Edges live in staged tables; only their number reaches the driver.
+of the longest chain. Edges live in staged tables; only counts reach the driver.
+
+The rounds keep what is connected, so they are over exactly when the edges are stars: every node points
+to one other, and no node that is pointed to points on.
 """
 
 from __future__ import annotations
@@ -15,22 +18,30 @@ from cutloom.llm.common import drop_folder, staged
 MOST_ROUNDS = 60
 
 
-def components(edges: DataFrame, at: str) -> DataFrame:
-    """``edges`` (a, b: long) -> (node, root) for each node of an edge; the root is the least node of its component."""
-    spark = edges.sparkSession
+def are_stars(edges: DataFrame) -> bool:
+    """Whether the distinct edges (a to b) are stars around the nodes b."""
+    many = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    if many.where("n > 1").limit(1).count():
+        return False
+    return not edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi").limit(1).count()
+
+
+def components(edges: DataFrame, at: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``edges`` (a, b: long) -> (node, root) for each node of an edge; the root is the least node of its component.
+
+    Edges of a node to itself and empty tables give nothing; repeated edges count once. Fails if ``most_rounds`` don't suffice.
+    """
     star = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{at}/edges-0")
-    before = None
-    for k in range(1, MOST_ROUNDS + 1):
+    k = 0
+    while not are_stars(star):
+        k += 1
+        if k > most_rounds:
+            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
         both = star.select(F.col("a").alias("u"), F.col("b").alias("v")).union(star.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         star = staged(small.distinct(), f"{at}/edges-{k}")
-        now = star.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        drop_folder(spark, f"{at}/edges-{k - 1}")
-        if now == before:
-            break
-        before = now
-    roots = star.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.union(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        drop_folder(edges.sparkSession, f"{at}/edges-{k - 1}")
+    return star.select(F.col("a").alias("node"), F.col("b").alias("root")).union(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

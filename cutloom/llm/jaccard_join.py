@@ -5,23 +5,28 @@ are runs of ``[^\x20\x09-\x0D]``; a text of one to four words has all its words
 
 Forest: each distinct text has a signature of ``TREES * LABELS`` minimum hashes; a tree takes
 ``LABELS`` of them, one byte each, as the path of the text in its trie, kept as one sortable number.
-Texts that share a path's beginning of length x in some tree are candidates. The matched beginnings
-are shortened from the whole path until the recall that length gives at the threshold,
-``1 - (1 - s**x)**TREES``, reaches the target; more similar texts have more. Candidates are gathered
-into clusters (components of the trie nodes at that depth), never into pairs.
-
-Verification is exact and whole: within a cluster every two texts are compared on their gram sets.
-A cluster is cut into blocks of ``BLOCK`` texts; each pair of blocks is one task, which counts shared
+Texts that share a path's beginning of length x in some tree are candidates. The join starts with the whole
+paths and verifies what they bring together. The similarities of the links found tell how many links a
+length x misses: a link of similarity s is missed with probability ``(1 - s**x)**TREES``. While the misses expected,
+with one unseen link at the threshold added, exceed what the target recall allows, the matched
+beginnings are shortened by a label and what is newly brought together is verified. Where many
+links are as weak as the threshold this ends at ``1 - (1 - s**6)**32``; where all are strong it ends earlier.
+
+Verification is exact. Candidates form groups (components of the trie nodes). All texts of a small group are
+compared with each other. A larger one is cut into blocks of ``BLOCK`` texts, and either the blocks that some node spans are compared, or
+the texts of each node, block by block, a pair in the first tree that brings it together; whichever moves fewer texts. So a group of
+copies costs what its blocks cost and a long chain what its nodes cost. Each pair of blocks is one small task, which counts shared
 grams by a matrix product over the grams that many texts of the block hold and by their postings
 for the others. A task gives per text its number of links and one text it is joined to by links, not the
-links themselves, so what moves grows with the texts and not with their pairs.
+links themselves. Counting the links of m texts that are all alike takes m²/2 comparisons and moves each text m / ``BLOCK`` times.
 
 Copies: rows of equal text are one class and are compared once. ``n_links`` is the number of other
 documents a document is linked to, copies counted; ``n_texts`` the number of other distinct texts.
 
 Defined results: null text is empty; texts without words are linked to nothing but their copies
-(equal texts); repeated rows are copies of each other; null ids are kept (a class of null ids has a
-null class id); an empty table gives an empty result; only id and text are read.
+(equal texts); very long texts are compared whole, in smaller blocks; repeated rows are copies of each other; null ids are
+kept (a class of null ids has a null class id); of equally good members of a group the least id stands for it (ties); an empty table
+gives an empty result; only id and text are read, so columns of clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -43,20 +48,37 @@ THRESHOLD = 0.8
 TREES = 32
 LABELS = 8
 TARGET_RECALL = 0.9999
-#: A block has at most about so many texts and so many grams.
-BLOCK = 2048
+#: A block has at most so many texts and about so many grams.
+BLOCK = 256
 BLOCK_GRAMS = 3_000_000
+#: Links are counted by similarity in so many steps from the threshold to 1.
+STEPS = 40
+#: What names a pair of blocks: its cluster, the trie node if only a node's texts are compared (else -1, 0), and the blocks.
+PAIR = ["cluster", "tree", "path", "low", "high"]
 DENSE_FROM = 24
 CACHE_WORDS = 400_000
 _P1, _P2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def depth_for(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES, labels: int = LABELS) -> int:
-    """Shorten the matched beginning until its recall at the threshold reaches the target."""
-    depth = labels
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+    """The longest beginning that is enough even if all links are as weak as the threshold."""
+    return next((d for d in range(labels, 1, -1) if 1 - (1 - threshold**d) ** trees >= target), 1)
+
+
+def missed(depth: int, links: dict[int, int], threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """Links expected to be missed by beginnings of this length, given those found by step of similarity.
+
+    A step counts as its lower end, and one more link at the threshold is taken to exist.
+    """
+    total = 0.0
+    for step, n in {**links, 0: links.get(0, 0) + 1}.items():
+        seen = 1 - (1 - (threshold + step * (1 - threshold) / STEPS) ** depth) ** trees
+        total += n * (1 - seen) / seen
+    return total
+
+
+def suffices(depth: int, links: dict[int, int], threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES) -> bool:
+    return missed(depth, links, threshold, trees) <= (1 - target) * max(sum(links.values()), 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -134,8 +156,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, schema)
 
 
-def count_links(left: Sequence[np.ndarray], right: Sequence[np.ndarray], same: bool, threshold: float = THRESHOLD) -> np.ndarray:
-    """Boolean (left, right): whether the gram sets are linked; for ``same`` only above the diagonal.
+def count_links(left: Sequence[np.ndarray], right: Sequence[np.ndarray], same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays (left, right): whether the gram sets are linked, for ``same`` only above the diagonal, and how similar they are.
 
     Shared grams that at least ``DENSE_FROM`` texts of a side hold are counted by a matrix product in
     strips, the others by the pairs of their postings.
@@ -179,7 +201,7 @@ def count_links(left: Sequence[np.ndarray], right: Sequence[np.ndarray], same: b
             shared += np.bincount(rows * m + cols, minlength=n * m).reshape(n, m).astype(np.float32)
     union = sizes[0][:, None] + sizes[1][None, :] - shared
     linked = (shared > 0) & (shared >= threshold * union - 1e-6)
-    return np.triu(linked, 1) if same else linked
+    return (np.triu(linked, 1) if same else linked), shared / np.maximum(union, 1)
 
 
 def component_roots(linked: np.ndarray, same: bool) -> np.ndarray:
@@ -201,23 +223,29 @@ def component_roots(linked: np.ndarray, same: bool) -> np.ndarray:
         roots = new
 
 
-def compare(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``texts`` (cluster, pair, same, side, class_no, copies, text) -> class_no, n_texts, n_links, joined_to, per block pair.
+def compare(texts: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
+    """``texts`` (*PAIR, side, class_no, copies, text, paths) -> class_no, n_texts, n_links, joined_to, per pair of blocks.
 
-    ``same`` tells a block paired with itself; of two blocks one may be empty, and then there is nothing to link.
-    Rows must come sorted by cluster and pair within their partition; one pair of blocks is held at a time.
+    Where a tree is named, pairs that an earlier tree brings together at ``depth`` don't count. Rows without a class tell by ``n_texts`` the step of similarity and by ``n_links`` the number of links there.
+    Rows must come sorted by pair and side within their partition; one pair of blocks is held at a time.
     """
     schema = "class_no long, n_texts long, n_links long, joined_to long"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        key, held, alone = None, ([], []), False
+        key, held = None, ([], [])
 
         def done() -> pa.RecordBatch:
-            (left, right), same = held, alone
-            sides = [[x[0] for x in left], [x[0] for x in (left if same else right)]]
-            linked = count_links([x[2] for x in left], [x[2] for x in (left if same else right)], same, threshold)
-            copies = [np.array([x[1] for x in left], np.int64), np.array([x[1] for x in (left if same else right)], np.int64)]
+            (left, right), same = held, key[3] == key[4]
+            if same:
+                right = left
+            sides = [[x[0] for x in left], [x[0] for x in right]]
+            linked, similar = count_links([x[2] for x in left], [x[2] for x in right], same, threshold)
+            if key[1] > 0:
+                ways = [np.array([x[3][: key[1]] for x in side], np.int64) >> (8 * (LABELS - depth)) for side in (left, right)]
+                for a, b in zip(ways[0].T, ways[1].T, strict=True):
+                    linked &= a[:, None] != b[None, :]
+            copies = [np.array([x[1] for x in side], np.int64) for side in (left, right)]
             offset = 0 if same else len(left)
             nodes = sides[0] if same else sides[0] + sides[1]
             n_texts = np.zeros(len(nodes), np.int64)
@@ -228,20 +256,25 @@ def compare(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             n_links[offset : offset + len(sides[1])] += linked.T @ copies[0]
             roots = component_roots(linked, same)
             keep = np.flatnonzero(n_texts).tolist()
+            steps = np.clip(np.floor((similar[linked] - threshold) / (1 - threshold) * STEPS + 1e-4), 0, STEPS).astype(np.int64)
+            step, many = np.unique(steps, return_counts=True)
+            none = [None] * len(step)
             return pa.RecordBatch.from_arrays(
-                [pa.array([nodes[k] for k in keep], pa.int64()), pa.array(n_texts[keep]), pa.array(n_links[keep]), pa.array([nodes[roots[k]] for k in keep], pa.int64())],
+                [
+                    pa.array([nodes[k] for k in keep] + none, pa.int64()), pa.array(np.concatenate([n_texts[keep], step])),
+                    pa.array(np.concatenate([n_links[keep], many])), pa.array([nodes[roots[k]] for k in keep] + none, pa.int64()),
+                ],
                 names=["class_no", "n_texts", "n_links", "joined_to"],
-            )
+            )
 
         for batch in batches:
-            for cluster, pair, same, side, no, copies, text in zip(*(batch.column(c).to_pylist() for c in ("cluster", "pair", "same", "side", "class_no", "copies", "text")), strict=True):
-                if (cluster, pair) != key:
-                    if alone or all(held):
+            for *pair, side, no, copies, text, ways in zip(*(batch.column(c).to_pylist() for c in (*PAIR, "side", "class_no", "copies", "text", "paths")), strict=True):
+                if tuple(pair) != key:
+                    if key and held[0]:
                         yield done()
-                    key, held, alone = (cluster, pair), ([], []), same
-                if not held[side] or held[side][-1][0] != no:  # copies that share their id come side by side
-                    held[side].append((no, copies, grams(text)))
-        if alone or all(held):
+                    key, held = tuple(pair), ([], [])
+                held[side].append((no, copies, grams(text), ways))
+        if key and held[0]:
             yield done()
 
     return texts.mapInArrow(verify, schema)
@@ -258,13 +291,33 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     signed = staged(signatures(docs), f"{at}/signed")
     classes = signed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"), F.first("paths").alias("paths"), F.first("n_grams").alias("n_grams"))
     classes = staged(classes.withColumn("class_no", F.monotonically_increasing_id()), f"{at}/classes")
-    edges = candidate_edges(classes, depth_for(threshold, target), f"{at}/forest")
-    clusters = staged(components(edges, f"{at}/candidates"), f"{at}/clusters")
-    compared = staged(compare(_blocks(docs, classes, clusters), threshold), f"{at}/compared")
-    links = compared.groupBy("class_no").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
+
+    compared = spark.createDataFrame([], "depth int, class_no long, n_texts long, n_links long, joined_to long")
+    settled = spark.createDataFrame([], "root long, n long")
+    links: dict[int, int] = {}
+    least = depth_for(threshold, target)
+    texts = staged(_texts(docs, classes, candidate_edges(classes, least, f"{at}/all")), f"{at}/texts")
+    for depth in range(LABELS, least - 1, -1):
+        clusters = components(candidate_edges(classes, depth, f"{at}/forest-{depth}"), f"{at}/candidates-{depth}")
+        clusters = clusters.join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node")
+        size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("n_grams").alias("most_grams"))
+        # Shortening only joins clusters, so one of the same root and size has the same texts and, if small, is done.
+        size = staged(size.join(settled, ["root", "n"], "left_anti"), f"{at}/sizes-{depth}")
+        members = staged(_blocks(clusters.select("root", "node").join(size, "root")), f"{at}/members-{depth}")
+        found = staged(compare(_pairs(texts, classes, members, depth), depth, threshold), f"{at}/compared-{depth}")
+        settled = settled.unionAll(size.where(_is_small(F.col("n"), F.col("most_grams"))).select("root", "n"))
+        compared = compared.unionAll(found.where("class_no IS NOT NULL").select(F.lit(depth).alias("depth"), *found.columns))
+        for step, n in found.where("class_no IS NULL").groupBy("n_texts").agg(F.sum("n_links")).collect():  # at most STEPS + 1 rows
+            links[step] = links.get(step, 0) + n
+        if suffices(depth, links, threshold, target):
+            break
+
+    # A text's links of its last verification count; they contain those of the verifications before.
+    counts = compared.groupBy("class_no", "depth").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
+    counts = counts.groupBy("class_no").agg(F.min_by(F.struct("n_texts", "n_links"), "depth").alias("last")).select("class_no", "last.*")
     linked = staged(components(compared.select(F.col("class_no").alias("a"), F.col("joined_to").alias("b")), f"{at}/links"), f"{at}/linked")
     found = classes.select("class_no", "digest", "copies", "copy_id").join(linked.select(F.col("node").alias("class_no"), F.col("root").alias("group")), "class_no", "left")
-    return signed.select("doc_id", "digest"), found.join(links, "class_no", "left").drop("class_no")
+    return signed.select("doc_id", "digest"), found.join(counts, "class_no", "left").drop("class_no")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
@@ -338,18 +391,62 @@ def candidate_edges(classes: DataFrame, depth: int, at: str) -> DataFrame:
     return found.where("b IS NOT NULL").select("a", "b").union(ends.join(least, ["tree", "path"]).select("a", "b"))
 
 
-def _blocks(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """A text of each class of a cluster, once for every pair of blocks it takes part in, sorted by pair."""
-    sized = clusters.join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node")
-    size = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int")
-    member = clusters.join(size, "root").select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), blocks.alias("blocks"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("class_no"), F.col("blocks")).cast("int"))
-    wanted = classes.select("class_no", "digest", "copies", "copy_id").join(member, "class_no")
+def _texts(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """class_no, copies, text of every class that an edge names; of a class the rows of its least id, and of these one."""
+    near = edges.select(F.col("a").alias("class_no")).unionAll(edges.select(F.col("b").alias("class_no"))).distinct()
+    wanted = classes.join(near, "class_no", "left_semi").select("class_no", F.col("digest").alias("of_digest"), "copies", "copy_id")
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest("text").alias("digest"))
-    wanted = wanted.withColumnRenamed("digest", "of_digest")
     found = text.join(wanted, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("copy_id")))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = found.select("cluster", (low * F.col("blocks") + high).alias("pair"), (low == high).alias("same"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class_no", "copies", "text")
-    return found.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "side", "class_no")
+    return found.select("class_no", "copies", "text").withColumn("nth", F.row_number().over(Window.partitionBy("class_no").orderBy(F.lit(1)))).where("nth = 1").drop("nth")
+
+
+def _is_small(n: Column, most_grams: Column) -> Column:
+    return (n <= BLOCK) & (n * most_grams <= BLOCK_GRAMS)
+
+
+def _blocks(clusters: DataFrame) -> DataFrame:
+    """``clusters`` (root, node, n, most_grams) -> cluster, class_no, block.
+
+    A small cluster is one block. The texts of larger ones are sorted by range, which may spread a cluster over many
+    partitions, and cut into runs.
+    """
+    small = _is_small(F.col("n"), F.col("most_grams"))
+    one = clusters.where(small).select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), F.lit(0).cast("long").alias("block"))
+    run = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_GRAMS) / F.greatest(F.col("most_grams"), F.lit(1)))))
+    more = clusters.where(~small).repartitionByRange("root", "node").sortWithinPartitions("root", "node").withColumn("place", F.monotonically_increasing_id())
+    # The place has the partition in its high bits; runs are numbered within a partition.
+    part, local = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    more = more.select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), (F.shiftleft(part, 33) + F.floor(local / run)).alias("block"))
+    return one.unionAll(more)
+
+
+def _pairs(texts: DataFrame, classes: DataFrame, members: DataFrame, depth: int) -> DataFrame:
+    """A text of each member, once for every pair of blocks it takes part in, sorted by pair."""
+    sized = members.groupBy("cluster", "block").agg(F.count(F.lit(1)).alias("n"))
+    many = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("run"), F.sum("n").alias("n")).where("blocks > 1")
+    nodes = members.join(many.select("cluster"), "cluster", "left_semi").join(classes.select("class_no", "paths"), "class_no")
+    nodes = nodes.select("cluster", "block", F.posexplode("paths").alias("tree", "path")).withColumn("path", F.shiftright("path", 8 * (LABELS - depth)))
+    spans = nodes.groupBy("cluster", "tree", "path", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster", "tree", "path")
+    spans = spans.agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("blocks"), F.sum("n").alias("n")).where("n > 1")
+    spanned = spans.select("cluster", "tree", "path", F.posexplode("blocks").alias("at", "one"), "blocks")
+    spanned = spanned.select("cluster", "tree", "path", F.col("one.block").alias("low"), F.col("one.n").alias("low_n"), F.explode(F.expr("slice(blocks, at + 1, size(blocks))")).alias("two"))
+    spanned = spanned.select("cluster", "tree", "path", "low", F.col("two.block").alias("high"), "low_n", F.col("two.n").alias("high_n")).where("low < high OR low_n > 1")
+    # Texts moved, if pairs of whole blocks are compared and if the nodes' texts are.
+    by_block = spanned.where("low < high").select("cluster", "low", "high").distinct()
+    cost = by_block.groupBy("cluster").agg(F.count(F.lit(1)).alias("pairs")).join(many, "cluster", "right")
+    cost = cost.select("cluster", (F.col("n") + 2 * F.col("run") * F.coalesce("pairs", F.lit(0))).alias("of_blocks"))
+    of_nodes = spanned.groupBy("cluster").agg(F.sum(F.col("low_n") + F.when(F.col("low") < F.col("high"), F.col("high_n")).otherwise(0)).alias("of_nodes"))
+    by_node = cost.join(of_nodes, "cluster").where("of_nodes < of_blocks").select("cluster")
+
+    none = [F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("path")]
+    alone = sized.select("cluster", F.col("block").alias("low"), F.col("block").alias("high"))
+    pairs = alone.unionAll(by_block).join(by_node, "cluster", "left_anti").select("cluster", *none, "low", "high")
+    pairs = pairs.unionAll(spanned.join(by_node, "cluster", "left_semi").select(*PAIR))
+    sides = pairs.select("*", F.explode(F.when(F.col("low") < F.col("high"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
+    sides = sides.select("*", F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")).alias("block"))
+
+    whole = members.join(sides.where("tree < 0"), ["cluster", "block"]).select(*PAIR, "side", "class_no", F.lit(None).cast("array<long>").alias("paths"))
+    ways = members.join(by_node, "cluster", "left_semi").join(classes.select("class_no", "paths"), "class_no").select("*", F.posexplode("paths").alias("tree", "path"))
+    ways = ways.withColumn("path", F.shiftright("path", 8 * (LABELS - depth))).join(sides.where("tree >= 0"), ["cluster", "tree", "path", "block"])
+    asked = whole.unionAll(ways.select(*PAIR, "side", "class_no", "paths")).join(texts, "class_no")
+    return asked.repartition(*PAIR).sortWithinPartitions(*PAIR, "side", "class_no")

@@ -1,15 +1,20 @@
 """Helpers shared by the training-data operators: tables, the shared folder, staged tables.
 
 Executors may be lost at any time, so lineage is cut only by tables written to the folder that
-``spark.checkpoint.dir`` names, which every executor sees. Where that setting is absent (unit
-tests in one process) a folder is made and the setting is filled in.
+``spark.checkpoint.dir`` names, which every executor sees. Where that setting is absent and the
+session is local (unit tests in one process) a folder is made and the setting is filled in; on a
+cluster its absence is an error.
+
+The results of the operators read such tables, so these stay until the caller is done with them: what is
+done within ``scratch`` has its folders and tables removed at the end.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +31,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folders and tables made, innermost ``scratch`` last.
+_MADE: list[tuple[list[str], list[str]]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cutloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cutloom-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/cutloom-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1][0].append(made)
+    return made
+
+
+def made_table(name: str) -> str:
+    """Note a table for removal with the others."""
+    if _MADE:
+        _MADE[-1][1].append(name)
+    return name
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end the folders and tables that operators have made within; results must have been consumed by then."""
+    _MADE.append(([], []))
+    try:
+        yield
+    finally:
+        folders, tables = _MADE.pop()
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for at in folders:
+            drop_folder(spark, at)
 
 
 def staged(df: DataFrame, at: str, partition_by: Iterable[str] = ()) -> DataFrame:

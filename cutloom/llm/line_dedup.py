@@ -11,24 +11,36 @@ A line is what stands between two ``\n``. Its key is the line stripped of ``[\x2
 both ends with A-Z in lower case. Keys of at least ``min_chars`` code points found in at least
 ``min_docs`` documents lose all their lines in every document; the other lines stay, joined by ``\n``.
 
-Defined results: null or empty text is one empty line; a key counts once per row of the table, so
-repeated rows count each; an empty table gives an empty result; other columns are carried untouched
-and cannot clash, as the operator works on structs and on names of its own.
+The text is read twice, once to count its keys and once to drop its lines. The hashes of the keys to drop are
+broadcast if there are at most ``MOST_BROADCAST`` of them, and then no text moves at all; if there are more, the
+positions to drop are found by a join on the hashes and meet their texts in a join on the text's hash.
+
+Defined results: null or empty text is one empty line; lines of any length are compared whole, by 128 bits; a key counts once per
+row of the table, so repeated rows count each; a key in exactly ``min_docs`` documents goes (ties); an empty table
+gives an empty result; other columns are carried untouched and cannot clash, as the operator works on structs and on names of its own.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutloom.llm.common import LOWER, SPACE, UPPER, drop_folder, shared_dir, small_batches, staged, text_or_empty
+from cutloom.llm.common import LOWER, SPACE, UPPER, drop_folder, made_table, shared_dir, small_batches, staged, text_or_empty
 
 HASH = ["h1", "h2"]
+#: So many hashes of 16 bytes are broadcast at most.
+MOST_BROADCAST = 1_000_000
+#: Spark's seed of xxhash64, and the seed that a leading 1 makes of it.
+_SEED = 42
+_SECOND = xxhash.xxh64_intdigest(struct.pack("<i", 1), _SEED)
 
 
 def line_key(line: Column) -> Column:
@@ -39,6 +51,14 @@ def line_hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
 
 
+def key_hashes(line: str, min_chars: int) -> tuple[int, int] | None:
+    """``line_hashes`` of the line's key in Python; None if the key is too short."""
+    key = line.encode().strip(SPACE.encode()).lower()  # of bytes: A-Z alone
+    if len(key) < min_chars or len(key.decode()) < min_chars:
+        return None
+    return xxhash.xxh64_intdigest(key, _SEED), xxhash.xxh64_intdigest(key, _SECOND)
+
+
 class LineRuns:
     """The levelled runs. ``levels[k]`` lists the table names of level k, oldest first."""
 
@@ -51,7 +71,7 @@ class LineRuns:
         self.written = 0
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        name = f"cutloom_lines_{self.tag}_{self.written}"
+        name = made_table(f"cutloom_lines_{self.tag}_{self.written}")
         self.written += 1
         spread = counts.repartition(self.buckets, *HASH)
         spread.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{self.at}/runs/{name}").format("parquet").saveAsTable(name)
@@ -103,61 +123,90 @@ class LineRuns:
             level += 1
 
 
-def count_keys(docs: DataFrame, min_chars: int, text: str = "text") -> DataFrame:
-    """(h1, h2, n): documents per line key. A key counts once per row, before anything is shuffled."""
+def count_keys(docs: DataFrame, min_chars: int, text: str = "text", batches: int = 1) -> DataFrame:
+    """(batch, h1, h2, n): documents per line key. A key counts once per row, before anything is shuffled."""
     keys = F.array_distinct(F.transform(F.split(text_or_empty(text), "\n", -1), line_key))
-    lines = docs.select(F.explode(keys).alias("key")).where(F.length("key") >= min_chars)
-    return lines.select(*line_hashes(F.col("key"))).groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"))
+    batch = F.pmod(F.xxhash64(F.col(text)), F.lit(batches)).cast("int")
+    lines = docs.select(batch.alias("batch"), F.explode(keys).alias("key")).where(F.length("key") >= min_chars)
+    return lines.select("batch", *line_hashes(F.col("key"))).groupBy("batch", *HASH).agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, at: str | None = None, text: str = "text") -> DataFrame:
-    """The hashes of the keys to drop: the documents go through the runs batch by batch."""
+    """The hashes of the keys to drop: the keys of the documents, read once, go through the runs batch by batch."""
     at = at or shared_dir(docs.sparkSession)
     runs = LineRuns(docs.sparkSession, at, min_docs)
-    batch = F.pmod(F.xxhash64(F.col(text)), F.lit(batches))
+    counted = staged(count_keys(docs, min_chars, text, batches), f"{at}/counted", ["batch"])
     for k in range(batches):
-        runs.add(count_keys(docs.where(batch == k), min_chars, text))
+        runs.add(counted.where(F.col("batch") == k).select(*HASH, "n"))
     found = staged(runs.settled(), f"{at}/frequent")
     for level in runs.levels:
         for name in level:
             runs._drop(name)
+    drop_folder(docs.sparkSession, f"{at}/counted")
     return found
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, text: str = "text") -> DataFrame:
-    """``row`` (the whole input row), kept_text, n_lines, n_dropped.
+def _cut_type(row: T.StructField) -> T.StructType:
+    return T.StructType([row, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+
+def _cut(batch: pa.RecordBatch, texts: list[str | None], gone_of) -> pa.RecordBatch:
+    """``gone_of(number, lines)``: the positions to drop."""
+    kept, n_lines, n_dropped = [], [], []
+    for k, text in enumerate(texts):
+        parts = (text or "").split("\n")
+        gone = gone_of(k, parts)
+        n_lines.append(len(parts))
+        n_dropped.append(len(gone))
+        kept.append("\n".join(p for i, p in enumerate(parts) if i not in gone) if gone else text or "")
+    return pa.RecordBatch.from_arrays(
+        [batch.column("row"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+        names=["row", "kept_text", "n_lines", "n_dropped"],
+    )
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``row`` (the whole input row), kept_text, n_lines, n_dropped."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = shared_dir(spark)
+    frequent = frequent_keys(docs, min_docs, min_chars, batches, at, text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text)
+    texts_of = lambda batch: batch.column("row").field(place).cast(pa.string()).to_pylist()
+    if frequent.count() > most_broadcast:
+        return _dedup_by_join(docs, rows, frequent, min_chars, at, text, texts_of)
+    got = frequent.orderBy(*HASH).toArrow()
+    shared = spark.sparkContext.broadcast(np.stack([got.column(c).to_numpy() for c in HASH], 1).astype(np.int64))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(map(tuple, shared.value.view(np.uint64).tolist()))
+        for batch in batches:
+            yield _cut(batch, texts_of(batch), lambda _, parts: {i for i, p in enumerate(parts) if key_hashes(p, min_chars) in known})
+
+    return rows.mapInArrow(cut, _cut_type(rows.schema["row"]))
+
+
+def _dedup_by_join(docs: DataFrame, rows: DataFrame, frequent: DataFrame, min_chars: int, at: str, text: str, texts_of) -> DataFrame:
+    """The way for any number of frequent keys.
 
     Which positions to drop depends on the text alone, so they are gathered per distinct text (a
     group's size is bounded by its text's lines) and joined back on the text's hash.
     """
-    small_batches(docs.sparkSession)
-    at = shared_dir(docs.sparkSession)
-    frequent = frequent_keys(docs, min_docs, min_chars, batches, at, text)
-    digest = [F.xxhash64(F.lit(2), F.col(text)).alias("t1"), F.xxhash64(F.lit(3), F.col(text)).alias("t2")]
+    digest = lambda c: [F.xxhash64(F.lit(2), c).alias("t1"), F.xxhash64(F.lit(3), c).alias("t2")]
     keys = F.transform(F.split(text_or_empty(text), "\n", -1), line_key)
-    lines = docs.select(*digest, F.posexplode(keys).alias("at", "key")).where(F.length("key") >= min_chars)
+    lines = docs.select(*digest(F.col(text)), F.posexplode(keys).alias("at", "key")).where(F.length("key") >= min_chars)
     hits = lines.select("t1", "t2", "at", *line_hashes(F.col("key"))).join(frequent, HASH, "left_semi")
     # Staged, so that the join below is of two plain shuffles and Spark can split the copies of one text.
     dropped = staged(hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("drop")), f"{at}/dropped")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text).alias("t"), *digest)
-    joined = whole.join(dropped, ["t1", "t2"], "left").select("row", "t", "drop")
-    out = T.StructType([joined.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    joined = rows.select("row", *digest(F.col(f"row.`{text}`"))).join(dropped, ["t1", "t2"], "left").select("row", "drop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column("t").to_pylist(), batch.column("drop").to_pylist(), strict=True):
-                parts = text.split("\n")
-                gone = set(drop or ())
-                n_lines.append(len(parts))
-                n_dropped.append(len(gone))
-                kept.append("\n".join(p for i, p in enumerate(parts) if i not in gone) if gone else text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                names=["row", "kept_text", "n_lines", "n_dropped"],
-            )
-
-    return joined.mapInArrow(cut, out)
+            drop = batch.column("drop").to_pylist()
+            yield _cut(batch, texts_of(batch), lambda k, _, drop=drop: set(drop[k] or ()))
+
+    return joined.mapInArrow(cut, _cut_type(joined.schema["row"]))
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

@@ -6,12 +6,13 @@ mean profiles are closest are joined (average linkage) up to the widest gap betw
 
 Features are the counts of hashed character bigrams and trigrams of the whole lower-case text,
 square-rooted and scaled to length one. Models are fitted on the driver to a bounded sample of
-labelled texts: about ``TRAIN_PER_LANGUAGE`` of each language, drawn by hash, of which only the
-distinct hashed profiles leave the executors. Every document is predicted on its whole text.
+labelled texts: about ``TRAIN_PER_LANGUAGE`` different texts of each language, drawn by hash, however many copies they have,
+of which only the distinct hashed profiles leave the executors. Every document is predicted on its whole text.
 
 Defined results: text that is null or has no letter is ``und`` with score 0; if no labelled text
 exists, everything is ``und``; a single known language is predicted for all with score 1; equal
-texts get equal results; ties go to the language first in order of code points. Other columns than
+texts get equal results, and repeated rows one each; very long texts are profiled whole; ties go to the language
+first in order of code points; an empty table gives an empty result. Other columns than
 id and text are never inputs of a prediction and cannot clash.
 """
 
@@ -31,6 +32,7 @@ from cutloom.llm.common import small_batches
 
 BITS = 12
 TRAIN_PER_LANGUAGE = 300
+MOST_DRAW = (1 << 62) - 1
 BLOCK_CHARS = 400_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -164,14 +166,15 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Langua
     """``labelled`` (text, lang): fit to about ``per_language`` texts of each language."""
     small_batches(labelled.sparkSession)
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    # One row per language, with about its number of different texts.
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
     if not counts:
         return LanguageModel()
     cut: Column | None = None
     for row in counts:
-        share = F.lit(int(min(1.0, per_language / row.n) * (1 << 30)))
+        share = F.lit(int(min(1.0, per_language / max(row.n, 1)) * MOST_DRAW))
         cut = F.when(F.col("lang") == row.lang, share) if cut is None else cut.when(F.col("lang") == row.lang, share)
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) < cut)
+    drawn = labelled.where(F.xxhash64(F.lit(7), "text").bitwiseAND(F.lit(MOST_DRAW)) <= cut).distinct()
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,6 +215,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The documents whose language could be told (not ``und``, score at least ``min_score``), unchanged."""
-    kept = identify(docs, train(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return kept.select("row.*")
+    """The documents whose language could be told (not ``und``, score at least ``min_score``), unchanged.
+
+    Where no document is labelled there is no language to tell, and every text with a letter stays.
+    """
+    model = train(docs)
+    named = identify(docs, model)
+    if not model.groups:
+        return named.where(F.regexp_like(F.col("row.text").cast("string"), F.lit(r"\p{L}"))).select("row.*")
+    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")

@@ -7,17 +7,19 @@ grade ranks documents and the tail probability ``P(grade >= k)`` selects them.
 
 Features are the distinct lower-case words of the whole text, the distinct shapes of its words
 (letters and digits collapsed, other characters kept), word beginnings that several distinct words
-share, and a few binned measures of the text, hashed
+share (a feature for each number of sharing words from two to ``MOST_SHARED``, so that more words have all of them),
+and a few binned measures of the text, hashed
 into ``BUCKETS``. Only features that tell grades apart (a G test at ``MIN_G``) get a weight, so that a
 long text's hundreds of ordinary words don't drown the few that matter.
 
-The model is fitted on the driver to a bounded sample of rated documents (``TRAIN_ROWS``, drawn by a
+The model is fitted on the driver to a bounded sample of rated documents (about ``TRAIN_ROWS``, drawn by a
 hash of the id and so the same on every run); every document is scored, whole.
 
 Defined results: null text is empty; an empty text has only its measures as features; ratings that
 are null or belong to no document are not used; a document that is rated twice is learned from
-once for each different rating; without any usable rating all weights are 0 and the grades are equally likely; other
-columns are not read and cannot clash.
+once for each different rating; without any usable rating all weights are 0 and the grades are equally likely; very long
+texts are scored whole; equal texts have equal grades, and repeated rows a result each (ties); an empty table gives an empty
+result; other columns are not read and cannot clash.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ _DIGITS = re.compile(r"\d+")
 
 
 def shape(word: str) -> str:
-    return _DIGITS.sub("0", _LETTERS.sub("a", word))[:12]
+    return _DIGITS.sub("0", _LETTERS.sub("a", word))
 
 
 class Features:
@@ -165,11 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Cumulat
     """Fit to about ``rows`` rated documents. Only their distinct hashed features reach the driver."""
     small_batches(docs.sparkSession)
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 1)
-    rated = labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
+    rated = labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").distinct()
     many = rated.count()
-    share = min(1.0, rows / max(many, 1))
-    drawn = rated.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # About ``rows`` ids and grades: a bounded table.
+    drawn = rated.where(F.xxhash64(F.lit(5), "doc_id").bitwiseAND(F.lit((1 << 62) - 1)) <= F.lit(int(min(1.0, rows / max(many, 1)) * ((1 << 62) - 1))))
+    # About ``rows`` different ids and grades: a bounded table.
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,14 +7,15 @@ the vectors are added lane by lane modulo powers of two, so
 * a paragraph is inserted or deleted by adding or subtracting its own vector (``insert``/``delete``).
 
 The vector has two parts. ``IDENTITY`` lanes of 62 bits hold whole-paragraph hashes. The likeness
-part holds ``3 * PACKED`` counters of 20 bits, three to a number: a paragraph adds, for each of its
+part holds ``LANES * PACKED`` counters of 30 bits, two to a number: a paragraph adds, for each of its
 phrases (every run of three words side by side, so runs overlap; a line of fewer words is one phrase; no
 run crosses a paragraph's end), the bits of the phrase's hash. A counter against half the number of phrases is a sum of signs, and the correlation of two
-such vectors estimates the cosine of the phrase multisets. Beyond 2**20 phrases a counter carries
-into its neighbour: equality and additivity still hold, likeness is then only rough.
+such vectors estimates the cosine of the phrase multisets. A counter holds more phrases than a string can have.
 
 Defined results: null text is empty; empty texts are equal to each other (likeness 1) and unlike
-any other text (0).
+any other text (0); very long texts are taken whole; equal texts, repeated rows among them, have equal fingerprints
+(ties in the order of ids go by the text's hash); an empty table gives an empty result; only id and text are
+read, so columns of clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from cutloom.llm.common import WORD_PATTERN, staged, text_or_empty
 
 IDENTITY = 4
-PACKED = 20
-LANE_BITS = 20
+PACKED = 30
+LANES, LANE_BITS = 2, 30
 IDENTITY_MASK = (1 << 62) - 1
 PACKED_MASK = (1 << 60) - 1
 LANE_MASK = (1 << LANE_BITS) - 1
-SPREAD = 1 | 1 << LANE_BITS | 1 << (2 * LANE_BITS)
+SPREAD = 1 | 1 << LANE_BITS
 PHRASE_WORDS = 3
 
 
@@ -91,7 +92,7 @@ def fingerprint(vec: Column) -> Column:
 def _signs(vec: Column) -> Column:
     n = F.element_at(vec, -1)
     packed = F.slice(vec, IDENTITY + 1, PACKED)
-    lanes = F.flatten(F.transform(packed, lambda x: F.array(*[_shift(x, LANE_BITS * k).bitwiseAND(F.lit(LANE_MASK).cast("long")) for k in range(3)])))
+    lanes = F.flatten(F.transform(packed, lambda x: F.array(*[_shift(x, LANE_BITS * k).bitwiseAND(F.lit(LANE_MASK).cast("long")) for k in range(LANES)])))
     return F.transform(lanes, lambda c: (F.lit(2) * c - n).cast("double"))
 
 

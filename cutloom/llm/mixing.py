@@ -17,7 +17,8 @@ then over classes, so that no task ranks a whole source, however large it is. Th
 follows the size of the largest class.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a source
-without words gets target 0; ties and repeated rows are ranked in some order among themselves and
+without words gets target 0; a very long text is one document of its size, so the words taken may miss the target by
+it; ties and repeated rows are ranked in some order among themselves and
 count one by one; an empty table gives an empty result. Extra columns are carried in a struct, so
 their names cannot clash.
 """
@@ -118,7 +119,8 @@ def copies(
     crossed = F.floor(F.col("position") * F.col("rate") + F.col("offset")) - F.floor((F.col("position") - 1) * F.col("rate") + F.col("offset"))
     return sampled.select(
         "row", "size", "source_size", "target",
-        F.least(F.greatest(crossed, F.lit(0)), F.lit(int(cap))).cast("int").alias("n_copies"),
+        # A document is emitted as often as its rate, rounded down or up.
+        F.least(F.greatest(crossed, F.floor("rate")), F.ceil(F.col("rate") - 1e-9)).cast("int").alias("n_copies"),
     )
 
 

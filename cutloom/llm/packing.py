@@ -14,7 +14,8 @@ counts by (length, salt) and ranks within, so no task holds all pieces of a comm
 maps (length, rank) to (sequence, offset).
 
 Defined results: null or empty text is the end token alone; only documents longer than a sequence
-are cut, the last piece may be shorter; repeated rows are packed once each; an empty table gives an
+are cut, the last piece may be shorter; pieces of equal length are ranked by a hash, and those that tie there in some order, which
+moves no length; repeated rows are packed once each; an empty table gives an
 empty result; other columns may be carried as a struct and cannot clash.
 """
 

@@ -7,9 +7,9 @@ that the rules ask for, and answers a query by intersecting and uniting postings
 candidates are verified, by the regex itself on the whole text. Rules that have no mandatory
 trigram (a plain run of hex digits) scan every document.
 
-Defined results: null text is empty and has no spans; equal texts have equal spans; texts of any
-length are searched whole; an empty table gives an empty result. Only id and text are read, so other
-columns cannot clash.
+Defined results: null text is empty and has no spans; equal texts have equal spans, and repeated rows a
+result each; spans that begin together come in the order of the rules (ties); texts of any length are searched
+whole; case is ignored for A-Z alone; an empty table gives an empty result. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def _exact_all(nodes: list) -> set[str] | None:
 
 def _clauses(strings: set[str]) -> Query:
     """The clause 'one of these strings'; none if one of them is short of a trigram."""
-    folded = {s.lower().encode() for s in strings}
+    folded = {s.encode().lower() for s in strings}  # of bytes, as the texts: A-Z alone
     if not folded or min(map(len, folded)) < 3:
         return []
     return [frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in folded)]

@@ -140,13 +140,23 @@ def brute_lines(source, least):
 @pytest.mark.parametrize("batches", [1, 5])
 def test_lines(docs, texts, batches):
     for least in (2, 10):
-        got = line_dedup.dedup_lines(docs, least, batches=batches)
-        assert collections.Counter((r.row.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines(texts, least)
+        for most in (line_dedup.MOST_BROADCAST, 0):  # with broadcast hashes and by the join
+            got = line_dedup.dedup_lines(docs, least, batches=batches, most_broadcast=most)
+            assert collections.Counter((r.row.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines(texts, least)
+
+
+def test_key_hashes_equal_sparks(spark):
+    lines = ["", " ", "A b\t", "é ÀZ", "日本語 Ab", "x" * 5000, "\x0b y \r"]
+    d = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in d.select("line", F.length(line_dedup.line_key(F.col("line"))).alias("n"), *line_dedup.line_hashes(line_dedup.line_key(F.col("line")))).collect():
+        want = tuple(x % (1 << 64) for x in (r.h1, r.h2))
+        assert line_dedup.key_hashes(r.line, 0) == want and (line_dedup.key_hashes(r.line, 2) is None) == (r.n < 2)
 
 
 def test_lines_odd(odd, none):
-    got = line_dedup.dedup_lines(clashing(odd), 2, batches=2)
-    assert collections.Counter((r.row.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines([(r[0], r[1] or "") for r in ODD], 2)
+    for most in (line_dedup.MOST_BROADCAST, 0):
+        got = line_dedup.dedup_lines(clashing(odd), 2, batches=2, most_broadcast=most)
+        assert collections.Counter((r.row.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines([(r[0], r[1] or "") for r in ODD], 2)
     assert line_dedup.dedup_lines(none, 2).count() == 0
     kept = line_dedup.drop_frequent_lines(odd, 2)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
@@ -174,6 +184,56 @@ def test_language_held_out(spark, docs):
     assert len(model.groups) >= 2
 
 
+def test_language_is_learned_from_different_texts(spark):
+    """A text that makes up nearly all rows of its language counts once."""
+    rng = random.Random(4)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    german, english = ["der", "und", "nicht", "schule", "zwischen", "größe"], ["the", "and", "not", "school", "between", "size"]
+    rows = [(text(german), "de") for _ in range(50)] + [(text(english), "en") for _ in range(200)] + [(text(german), "de")] * 20_000
+    d = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = langid.train(d, per_language=100)
+    new = spark.createDataFrame([(1, text(german)), (2, text(english))], "doc_id bigint, text string")
+    assert {r.row.doc_id: r.lang_pred for r in langid.identify(new, model).collect()} == {1: "de", 2: "en"}
+
+
+def brute_profile(text, bits):
+    half, low = 1 << (bits - 1), [ord(c) for c in f" {text.lower()} "]
+    counts = [0] * (2 * half)
+    for i in range(len(low) - 1):
+        pair = (low[i] * 0x9E3779B1 + low[i + 1] * 0x85EBCA77) % (1 << 32)
+        counts[pair >> (32 - bits + 1)] += 1
+        if i + 2 < len(low):
+            counts[half + ((pair * 0xC2B2AE3D + low[i + 2] * 0x27D4EB2F) % (1 << 32) >> (32 - bits + 1))] += 1
+    norm = math.sqrt(sum(counts))
+    return [math.sqrt(c) / norm for c in counts]
+
+
+def test_predictions_equal_brute_force(spark, docs, texts):
+    """The family by the largest margin, then the language by votes and the margins' shares."""
+    model = langid.train(docs.select("text", "lang"))
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs.select("doc_id", "text"), model).collect()}
+    sigmoid = lambda m: 1 / (1 + math.exp(-min(max(4 * m, -60), 60)))
+    for i, t in texts[:60]:
+        if not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        x = np.array(brute_profile(t, langid.BITS))
+        shares = [sigmoid(float(x @ w) + b) for w, b in model.family] or [1.0]
+        k = max(range(len(shares)), key=lambda j: (shares[j], -j))
+        group = model.groups[k]
+        votes, soft = collections.Counter(), collections.Counter()
+        for a, c in itertools.combinations(group, 2):
+            w, b = model.pairs[a, c]
+            m = float(x @ w) + b
+            votes[a if m >= 0 else c] += 1
+            soft[a] += sigmoid(m)
+            soft[c] += sigmoid(-m)
+        rivals = max(len(group) - 1, 1)
+        best = max(group, key=lambda g: (votes[g] + soft[g] / (rivals + 1), [-ord(ch) for ch in g]))
+        score = shares[k] / sum(shares) * (soft[best] / rivals if len(group) > 1 else 1.0)
+        assert got[i][0] == best and got[i][1] == pytest.approx(score, abs=1e-4)
+
+
 def test_language_odd(spark, odd, none, docs):
     model = langid.train(docs)
     got = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.identify(clashing(odd), model).collect()}
@@ -325,6 +385,14 @@ def test_mixing_whole_table(spark, sf, docs):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_mixing_with_a_broken_cap(spark):
+    """With a cap of 2.5 some documents are taken three times and the words meet the target; neighbours differ by one copy."""
+    d = spark.createDataFrame([(k, "w " * 10, "a") for k in range(20)] + [(100 + k, "w " * 10, "b") for k in range(80)], "doc_id bigint, text string, source string")
+    got = mixing.copies(d, weights=(9, 1), cap=2.5).collect()
+    a = [r for r in got if r.row.doc_id < 100]
+    assert {r.target for r in a} == {500.0} and abs(sum(r.n_copies * 10 for r in a) - 500) <= 10 and {r.n_copies for r in a} == {2, 3}
+
+
 def test_mixing_odd(spark, odd, none):
     got = mixing.copies(clashing(odd), keep=odd.columns)
     assert got.count() == len(ODD)
@@ -620,20 +688,40 @@ def test_near_duplicates_odd(spark, odd, none):
     assert len({r.text or "" for r in kept.collect()}) == kept.count() == len({t for _, t in source})
 
 
-def test_forest_depth():
-    d = jaccard_join.depth_for()
-    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL
-    assert 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES < jaccard_join.TARGET_RECALL
+def test_beginnings_are_shortened_until_the_recall_suffices():
+    """Weak links need shorter beginnings than strong ones, and the formula holds at the threshold."""
+    weak, strong = {0: 10**6}, {jaccard_join.STEPS - 2: 10**6}
+    depth_of = lambda links: next(x for x in range(jaccard_join.LABELS, 0, -1) if jaccard_join.suffices(x, links))
+    assert depth_of(strong) == jaccard_join.LABELS > depth_of(weak) >= 1
+    d = depth_of(weak)
+    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES
+    assert jaccard_join.missed(8, {}) == pytest.approx((1 - 0.8**8) ** 32 / (1 - (1 - 0.8**8) ** 32))
+
+
+def test_chains_are_compared_along_their_nodes(spark, monkeypatch):
+    """A long chain, in which each text is like the next alone, is one cluster; only the texts of its nodes are compared."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    n = 700
+    words = [f"w{k}" for k in range(8 * n + 100)]
+    source = [(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(n)]
+    asked = []
+    pairs = jaccard_join._pairs
+    monkeypatch.setattr(jaccard_join, "_pairs", lambda *a: (asked.append(x := pairs(*a)), x)[1])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(spark.createDataFrame(source, "doc_id bigint, text string")).collect()}
+    assert got == {k: (0, 1 if k in (0, n - 1) else 2) for k in range(n)}
+    # All pairs of blocks would take each text as often as there are blocks.
+    assert asked[0].where("tree >= 0").count() == asked[0].count() < n * (n // 16)
 
 
 def test_count_links_equals_sets():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60 if k % 2 else 10**6, int(rng.integers(1, 60))).astype(np.uint64)) for k in range(80)]
     sets += sets[:20]
-    got = jaccard_join.count_links(sets, sets, True, 0.3)
+    got, similar = jaccard_join.count_links(sets, sets, True, 0.3)
     for a, b in itertools.combinations(range(len(sets)), 2):
         x, y = set(sets[a].tolist()), set(sets[b].tolist())
         assert got[a, b] == (len(x & y) >= 0.3 * len(x | y) and bool(x & y))
+        assert similar[a, b] == pytest.approx(len(x & y) / len(x | y))
 
 
 def test_components(spark):
@@ -642,6 +730,15 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(d, shared_dir(spark)).collect()}
     assert all(got[k] == 0 for k in range(61)) and got[101] == got[100] == 100 and got[300] == 290
     assert components.components(spark.createDataFrame([], "a long, b long"), shared_dir(spark)).count() == 0
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.components(d, shared_dir(spark), most_rounds=1)
+
+
+def test_near_duplicates_equal_brute_force_at_a_larger_scale(spark, sf):
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    source = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    got = [(r.doc_id, r.class_id, r.n_links) for r in queries.op8_jaccard_join(spark, sf.replace("sf0.001", "sf0.01")).collect()]
+    assert sorted(got) == sorted(brute_links(source))
 
 
 # Fingerprints
@@ -713,6 +810,13 @@ def test_secrets(spark, sf, texts, odd, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_rules_with_other_letters(spark):
+    rule = secrets.Rule("school", "École[0-9]+")
+    d = spark.createDataFrame([(1, "x École12 y"), (2, "école12"), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(d, [rule], 1).collect()}
+    assert got == {1: "school:2:9", 2: "", 3: ""}
+
+
 def test_queries_of_rules_are_necessary():
     for rule in secrets.BASE_RULES + secrets.MORE_RULES:
         query = secrets.trigram_query(rule.pattern)
@@ -737,6 +841,49 @@ def test_quality(spark, sf, docs):
     assert all(r.p_clean >= r.p_good for r in got.values())
 
 
+def brute_features(text):
+    """The features as names, from their description."""
+    words = text.lower().split()
+    distinct = set(words)
+    found = {("w", w.strip(".,;:!?\"'()")) for w in distinct}
+    found |= {("s", re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", w))) for w in distinct}
+    stems = collections.Counter(w[:k] for w in distinct for k in quality.STEMS if len(w) > k)
+    found |= {(f"p{level}", stem) for stem, n in stems.items() for level in range(2, quality.MOST_SHARED + 1) if n >= level}
+    n = len(words)
+    odd = len([w for w in distinct if not re.search(r"[^\W_]", w)])
+    return found | {("length", str(n.bit_length())), ("distinct", f"{min(n.bit_length(), 6)} {10 * len(distinct) // max(n, 1)}"), ("odd", str(10 * odd // max(len(distinct), 1)))}
+
+
+def test_grades_equal_brute_force(spark, sf, docs, texts):
+    model = quality.train(docs, table(spark, sf, "labels"))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for i, t in texts:
+        position = sum(float(np.float32(model.weights[b])) for b in {zlib.crc32(f"{k} {x}".encode()) % quality.BUCKETS for k, x in brute_features(t)})
+        tails = [1 / (1 + math.exp(min(max(cut - position, -60), 60))) for cut in model.thresholds]
+        assert (got[i].expected_grade, got[i].p_clean, got[i].p_good) == pytest.approx((sum(tails), tails[0], tails[-1]), rel=1e-3, abs=1e-4)
+
+
+def test_quality_on_ratings_held_out(spark, sf):
+    """Ratings the model has not seen: good documents are expected above others, and toxic ones are not called clean."""
+    at = sf.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, at, "documents"), table(spark, at, "labels")
+    model = quality.train(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    good = [r.expected_grade for r in got if r.quality == 1 and r.toxic == 0]
+    other = [r.expected_grade for r in got if not (r.quality == 1 and r.toxic == 0)]
+    toxic = [r.p_clean for r in got if r.toxic == 1]
+    clean = [r.p_clean for r in got if r.toxic == 0]
+    ahead = lambda a, b: np.mean([(x > y) + 0.5 * (x == y) for x in a for y in b])
+    assert ahead(good, other) > 0.8 and ahead(clean, toxic) > 0.8
+
+
+def test_a_sample_of_many_ratings_is_not_empty(spark):
+    docs = spark.createDataFrame([(k, f"good words here {k}" if k % 2 else f"bad thing there {k}") for k in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(400) for _ in range(3)], "doc_id bigint, quality int, toxic int")
+    assert quality.train(docs, labels, rows=100).weights.any()
+    assert quality.shape("aaa-bbb_ccc.ddd/eee") != quality.shape("aaa-bbb_ccc.ddd+eee")
+
+
 def test_quality_odd(spark, odd, none, sf):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (99, 0, 1), (4, 0, 0), (4, 1, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert quality.score(clashing(odd), quality.train(odd, labels)).count() == len(ODD)

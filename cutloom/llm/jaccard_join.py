@@ -9,11 +9,11 @@ Texts that share a path's beginning of length x in some tree are candidates. The
 paths and verifies what they bring together. The similarities of the links found tell how many links a
 length x misses: a link of similarity s is missed with probability ``(1 - s**x)**TREES``. While the misses expected,
 with one unseen link at the threshold added, exceed what the target recall allows, the matched
-beginnings are shortened by a label and what is newly brought together is verified. Where many
+beginnings are shortened to the length that suffices for the links found, and the groups that this changes are verified. Where many
 links are as weak as the threshold this ends at ``1 - (1 - s**6)**32``; where all are strong it ends earlier.
 
 Verification is exact. Candidates form groups (components of the trie nodes). All texts of a small group are
-compared with each other. A larger one is cut into blocks of ``BLOCK`` texts, and either the blocks that some node spans are compared, or
+compared with each other. A larger one is cut into blocks of ``BLOCK`` texts, and either all its blocks are compared, or
 the texts of each node, block by block, a pair in the first tree that brings it together; whichever moves fewer texts. So a group of
 copies costs what its blocks cost and a long chain what its nodes cost. Each pair of blocks is one small task, which counts shared
 grams by a matrix product over the grams that many texts of the block hold and by their postings
@@ -49,7 +49,7 @@ TREES = 32
 LABELS = 8
 TARGET_RECALL = 0.9999
 #: A block has at most so many texts and about so many grams.
-BLOCK = 256
+BLOCK = 512
 BLOCK_GRAMS = 3_000_000
 #: Links are counted by similarity in so many steps from the threshold to 1.
 STEPS = 40
@@ -297,20 +297,23 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     links: dict[int, int] = {}
     least = depth_for(threshold, target)
     texts = staged(_texts(docs, classes, candidate_edges(classes, least, f"{at}/all")), f"{at}/texts")
-    for depth in range(LABELS, least - 1, -1):
-        clusters = components(candidate_edges(classes, depth, f"{at}/forest-{depth}"), f"{at}/candidates-{depth}")
+    depth = LABELS
+    while True:
+        clusters = _clusters(candidate_edges(classes, depth, f"{at}/forest-{depth}"), f"{at}/clusters-{depth}")
         clusters = clusters.join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node")
         size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("n_grams").alias("most_grams"))
-        # Shortening only joins clusters, so one of the same root and size has the same texts and, if small, is done.
+        # Shortening only joins clusters, so one of the same root and size has the same texts and, if all of them were compared, is done.
         size = staged(size.join(settled, ["root", "n"], "left_anti"), f"{at}/sizes-{depth}")
         members = staged(_blocks(clusters.select("root", "node").join(size, "root")), f"{at}/members-{depth}")
-        found = staged(compare(_pairs(texts, classes, members, depth), depth, threshold), f"{at}/compared-{depth}")
-        settled = settled.unionAll(size.where(_is_small(F.col("n"), F.col("most_grams"))).select("root", "n"))
+        by_node = staged(_by_node(members, classes, depth), f"{at}/by-node-{depth}")
+        found = staged(compare(_pairs(texts, classes, members, by_node, depth), depth, threshold), f"{at}/compared-{depth}")
+        settled = settled.unionAll(size.join(by_node.withColumnRenamed("cluster", "root"), "root", "left_anti").select("root", "n"))
         compared = compared.unionAll(found.where("class_no IS NOT NULL").select(F.lit(depth).alias("depth"), *found.columns))
         for step, n in found.where("class_no IS NULL").groupBy("n_texts").agg(F.sum("n_links")).collect():  # at most STEPS + 1 rows
             links[step] = links.get(step, 0) + n
-        if suffices(depth, links, threshold, target):
+        if depth <= least or suffices(depth, links, threshold, target):
             break
+        depth = next((d for d in range(depth - 1, least, -1) if suffices(d, links, threshold, target)), least)
 
     # A text's links of its last verification count; they contain those of the verifications before.
     counts = compared.groupBy("class_no", "depth").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
@@ -320,6 +323,25 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     return signed.select("doc_id", "digest"), found.join(counts, "class_no", "left").drop("class_no")
 
 
+def _clusters(edges: DataFrame, at: str) -> DataFrame:
+    """Edges (a, b) of texts a and first texts b of nodes -> (node, root), the root being the least node of its component.
+
+    A text only links the few first texts of its nodes to the least of these, so the components are those of a
+    graph of first texts, which is far smaller than that of all texts.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    heads = edges.select(F.col("b").alias("a")).distinct()
+    among = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    among = among.unionAll(least.join(heads, "a", "left_semi").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    roots = components(among, f"{at}/heads")
+    named = least.select(F.col("a").alias("node"), F.col("m").alias("head")).unionAll(heads.select(F.col("a").alias("node"), F.col("a").alias("head")))
+    # A first text that has a first text of its own is in one component with it.
+    found = named.join(roots.select(F.col("node").alias("head"), F.col("root").alias("top")), "head", "left").select("node", F.coalesce("top", "head").alias("top"))
+    found = staged(found.groupBy("node").agg(F.min("top").alias("top")), f"{at}/named")
+    first = found.groupBy("top").agg(F.min("node").alias("root"))
+    return found.join(first, "top").select("node", "root")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id (least id of the group of linked documents), copy_id (least id of equal text), n_texts, n_links."""
     signed, classes = classes_of(docs, threshold, target)
@@ -420,33 +442,43 @@ def _blocks(clusters: DataFrame) -> DataFrame:
     return one.unionAll(more)
 
 
-def _pairs(texts: DataFrame, classes: DataFrame, members: DataFrame, depth: int) -> DataFrame:
+def _nodes(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """cluster, class_no, block, paths, tree, path: the trie nodes of members at a depth."""
+    found = members.join(classes.select("class_no", "paths"), "class_no").select("*", F.posexplode("paths").alias("tree", "path"))
+    return found.withColumn("path", F.shiftright("path", 8 * (LABELS - depth)))
+
+
+def _by_node(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """cluster: the larger ones of which fewer texts move if only the texts of nodes are compared."""
+    sized = members.groupBy("cluster", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster")
+    many = sized.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n")).where("blocks > 1")
+    nodes = _nodes(members.join(many.select("cluster"), "cluster", "left_semi"), classes, depth)
+    held = nodes.groupBy("cluster", "tree", "path", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster", "tree", "path")
+    held = held.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n")).where("n > 1")
+    cost = held.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias("of_nodes"))
+    return many.join(cost, "cluster").where(F.col("of_nodes") < F.col("n") * F.col("blocks")).select("cluster")
+
+
+def _paired(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, blocks (array of block and n) -> keys, low, high, low_n for every two blocks and every block with itself."""
+    rows = groups.select(*keys, F.posexplode("blocks").alias("at", "one"), "blocks")
+    rows = rows.select(*keys, "one", F.explode(F.expr("slice(blocks, at + 1, size(blocks))")).alias("two"))
+    return rows.select(*keys, F.col("one.block").alias("low"), F.col("two.block").alias("high"), F.col("one.n").alias("low_n"))
+
+
+def _pairs(texts: DataFrame, classes: DataFrame, members: DataFrame, by_node: DataFrame, depth: int) -> DataFrame:
     """A text of each member, once for every pair of blocks it takes part in, sorted by pair."""
-    sized = members.groupBy("cluster", "block").agg(F.count(F.lit(1)).alias("n"))
-    many = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("run"), F.sum("n").alias("n")).where("blocks > 1")
-    nodes = members.join(many.select("cluster"), "cluster", "left_semi").join(classes.select("class_no", "paths"), "class_no")
-    nodes = nodes.select("cluster", "block", F.posexplode("paths").alias("tree", "path")).withColumn("path", F.shiftright("path", 8 * (LABELS - depth)))
-    spans = nodes.groupBy("cluster", "tree", "path", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster", "tree", "path")
-    spans = spans.agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("blocks"), F.sum("n").alias("n")).where("n > 1")
-    spanned = spans.select("cluster", "tree", "path", F.posexplode("blocks").alias("at", "one"), "blocks")
-    spanned = spanned.select("cluster", "tree", "path", F.col("one.block").alias("low"), F.col("one.n").alias("low_n"), F.explode(F.expr("slice(blocks, at + 1, size(blocks))")).alias("two"))
-    spanned = spanned.select("cluster", "tree", "path", "low", F.col("two.block").alias("high"), "low_n", F.col("two.n").alias("high_n")).where("low < high OR low_n > 1")
-    # Texts moved, if pairs of whole blocks are compared and if the nodes' texts are.
-    by_block = spanned.where("low < high").select("cluster", "low", "high").distinct()
-    cost = by_block.groupBy("cluster").agg(F.count(F.lit(1)).alias("pairs")).join(many, "cluster", "right")
-    cost = cost.select("cluster", (F.col("n") + 2 * F.col("run") * F.coalesce("pairs", F.lit(0))).alias("of_blocks"))
-    of_nodes = spanned.groupBy("cluster").agg(F.sum(F.col("low_n") + F.when(F.col("low") < F.col("high"), F.col("high_n")).otherwise(0)).alias("of_nodes"))
-    by_node = cost.join(of_nodes, "cluster").where("of_nodes < of_blocks").select("cluster")
-
-    none = [F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("path")]
-    alone = sized.select("cluster", F.col("block").alias("low"), F.col("block").alias("high"))
-    pairs = alone.unionAll(by_block).join(by_node, "cluster", "left_anti").select("cluster", *none, "low", "high")
-    pairs = pairs.unionAll(spanned.join(by_node, "cluster", "left_semi").select(*PAIR))
-    sides = pairs.select("*", F.explode(F.when(F.col("low") < F.col("high"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
-    sides = sides.select("*", F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")).alias("block"))
-
-    whole = members.join(sides.where("tree < 0"), ["cluster", "block"]).select(*PAIR, "side", "class_no", F.lit(None).cast("array<long>").alias("paths"))
-    ways = members.join(by_node, "cluster", "left_semi").join(classes.select("class_no", "paths"), "class_no").select("*", F.posexplode("paths").alias("tree", "path"))
-    ways = ways.withColumn("path", F.shiftright("path", 8 * (LABELS - depth))).join(sides.where("tree >= 0"), ["cluster", "tree", "path", "block"])
-    asked = whole.unionAll(ways.select(*PAIR, "side", "class_no", "paths")).join(texts, "class_no")
-    return asked.repartition(*PAIR).sortWithinPartitions(*PAIR, "side", "class_no")
+    listed = F.sort_array(F.collect_list(F.struct("block", "n"))).alias("blocks")
+    sized = members.join(by_node, "cluster", "left_anti").groupBy("cluster", "block").agg(F.count(F.lit(1)).alias("n"))
+    whole = _paired(sized.groupBy("cluster").agg(listed), ["cluster"]).select("cluster", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("path"), "low", "high")
+    nodes = _nodes(members.join(by_node, "cluster", "left_semi"), classes, depth)
+    held = nodes.groupBy("cluster", "tree", "path", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster", "tree", "path")
+    parts = _paired(held.agg(listed), ["cluster", "tree", "path"]).where("low < high OR low_n > 1").select(*PAIR)
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        rows = pairs.select("*", F.explode(F.when(F.col("low") < F.col("high"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
+        return rows.select("*", F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")).alias("block"))
+
+    asked = members.join(sides(whole), ["cluster", "block"]).select(*PAIR, "side", "class_no", F.lit(None).cast("array<long>").alias("paths"))
+    asked = asked.unionAll(nodes.join(sides(parts), ["cluster", "tree", "path", "block"]).select(*PAIR, "side", "class_no", "paths"))
+    return asked.join(texts, "class_no").repartition(*PAIR).sortWithinPartitions(*PAIR, "side", "class_no")

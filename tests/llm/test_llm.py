@@ -428,7 +428,7 @@ def test_lm_odd(odd, none):
 
 
 def lm_model(texts, slot_bits=12, words=20):
-    """Codes, states and mixer of the token lists ``texts``."""
+    """Codes, word states and mixer, byte states and mixer of the token lists ``texts``."""
     c = collections.Counter(w for t in texts for w in t)
     common = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:words]
     rest = collections.Counter({w: n for w, n in c.items() if (w, n) not in common})
@@ -437,16 +437,25 @@ def lm_model(texts, slot_bits=12, words=20):
         for b in w + b" ":
             of_bytes[b] += n
     codes = cm.Codes([w for w, _ in common], [n for _, n in common], rest.total(), of_bytes)
-    counts = cm.Counts(slot_bits, slot_bits)
-    counts.add(texts, codes)
-    learner = cm.Learner(cm.States.of(counts))
-    learner.learn(texts, codes)
-    return codes, learner.states, learner.mixer
+    names = [codes.names(t) for t in texts]
+    counts = cm.WordCounts(codes.spelled + 1, slot_bits)
+    counts.add(names, codes)
+    states = cm.WordStates.of(counts.met, counts.names, counts.times, codes.words)
+    learner = cm.Learner(cm.WordModel.mixer())
+    cm.WordModel.learn(learner, names, codes, states)
+    spelled, times = list(rest), np.array([rest[w] for w in rest], np.int64)
+    turns = np.zeros((cm.BYTE_INPUTS, 1 << slot_bits, 2), np.uint32)
+    cm.ByteModel.count(spelled, times, codes, turns)
+    turns = cm.states_of(turns)
+    speller = cm.Learner(cm.ByteModel.mixer())
+    cm.ByteModel.learn(speller, spelled, times, codes, turns)
+    return codes, states, learner.mixer, turns, speller.mixer
 
 
 def scores_of(model, texts):
-    codes, states, mixer = model
-    return mixer.log_probabilities(texts, codes, states, cm.cell_table()[states.turns])
+    codes, states, mixer, turns, speller = model
+    words = cm.WordModel.log_probabilities(mixer, [codes.names(t) for t in texts], codes, states)
+    return words + [cm.ByteModel.log_probabilities(speller, [w for w in t if w not in codes.place], codes, turns).sum() for t in texts]
 
 
 WORDS = [f"w{k}".encode() for k in range(60)]
@@ -460,110 +469,113 @@ def lm_texts():
 
 def brute_log_probability(text, model):
     """The natural log of a text's probability, bit by bit and without any array over bits."""
-    (codes, states, mixer), total = model, 0.0
+    (codes, states, mixer, turns, speller), total = model, 0.0
     u64 = lambda x: np.array([x % (1 << 64)], np.uint64)
-    mixed = lambda x: int(cm._mixed(u64(x))[0])
-    short = lambda x, seed: int(cm._short(u64(x), seed)[0])
-    names = [mixed(codes.place[w] + 1 if w in codes.place else xxhash.xxh3_64_intdigest(w) + 1) for w in text]
-    costs = mixer.costs()
-    path = lambda tree, leaf: "".join(map(str, tree.turn[tree.start[leaf] : tree.start[leaf] + tree.length[leaf]]))
+    mixed = lambda x: int(cm.mixed(u64(x))[0])
+    short = lambda x, seed: int(cm.short(u64(x), seed)[0])
     level = lambda n: int(np.searchsorted(cm.LEVELS, n, "right")) - 1
-    size = states.turns.shape[1].bit_length() - 1
+    path = lambda tree, leaf: "".join(map(str, tree.turn[tree.start[leaf] : tree.start[leaf] + tree.length[leaf]]))
 
-    def symbol(tree, leaf, contexts, kind, gate_of, followers=()):
+    def add(m, x, gate, reach, bit):
         nonlocal total
-        code = path(tree, leaf)
+        weights = m.by_depth[gate] + m.by_reach[reach]
+        z = float(np.clip(sum(w * v for w, v in zip(weights, [*x, 1.0], strict=True)), -cm.EDGE, cm.EDGE))
+        total += m.costs()[gate, round((z + cm.EDGE) * (cm.MIX_STEPS - 1) / (2 * cm.EDGE)), int(bit)]
+
+    def cell(state):
+        zeros, ones = level(state & 255), level(state >> 8)
+        return 16 * ones + zeros, cm.LEVELS[zeros] + cm.LEVELS[ones] >= cm.TRUSTED
+
+    names = [codes.place[w] if w in codes.place else xxhash.xxh32_intdigest(w) | cm.SPELLED_NAME for w in text]
+    for i, w in enumerate(text):
+        leaf = codes.place.get(w, codes.spelled)
+        very = [j for j in range(max(i - cm.REACH, 0), i) if codes.place.get(text[j], 1 << 20) < min(cm.VERY_COMMON, codes.spelled)]
+        kind = names[very[-1]] if very else cm.VERY_COMMON
+        run, followers = 0, []
+        for k in range(1, max(cm.FOLLOWERS) + 1):
+            run = mixed(run + (mixed(names[i - k] + 1) if i >= k else 0) + k)
+            if k in cm.FOLLOWERS:
+                slot, check = (int(v[0]) for v in cm.places_of(u64(run), states.names.shape[1].bit_length() - 1))
+                j = cm.FOLLOWERS.index(k)
+                name = int(states.names[j][slot])
+                followers.append((int(states.times[j][slot]) if name >> cm.LEAF_BITS == check else 0, name & ((1 << cm.LEAF_BITS) - 1)))
+        code = path(codes.words, leaf)
         for t, c in enumerate(code):
-            x, reach = [], 0
-            for k, context in enumerate(contexts):
-                slot = (((context ^ int(tree.node[tree.start[leaf] + t])) * 0x9E3779B1) % (1 << 32)) >> (32 - size)
-                state = int(states.turns[k][slot])
-                zeros, ones = level(state & 255), level(state >> 8)
-                x.append(float(mixer.worth[kind][k][16 * ones + zeros]))
-                if kind and k >= cm.LONG and cm.LEVELS[zeros] + cm.LEVELS[ones] >= cm.TRUSTED:
-                    reach = k - cm.LONG + 1
+            node = int(codes.words.node[codes.words.start[leaf] + t])
+            x, reach = [float(mixer.worth[k][cell(int(states.turns[row][node]))[0]]) for k, row in enumerate((0, kind + 1))], 0
             for k, (times, other) in enumerate(followers):
-                theirs = path(tree, other) if times else ""
+                theirs = path(codes.words, other) if times else ""
                 if times and theirs[:t] == code[:t] and t < len(theirs):
-                    sign = 1 if theirs[t] == "1" else -1
-                    x.append(sign * float(mixer.worth[0][cm.WORD_TABLES + k][level(times) * cm.DEPTHS + min(t, cm.DEPTHS - 1)]))
+                    x.append((1 if theirs[t] == "1" else -1) * float(mixer.worth[2 + k][level(times) * cm.FOLLOWER_DEPTHS + min(t, cm.FOLLOWER_DEPTHS - 1)]))
                     reach = k + 1
                 else:
                     x.append(0.0)
-            gate = gate_of(t)
-            weights = mixer.by_depth[gate] + mixer.by_reach[kind * cm.REACHES + reach]
-            z = float(np.clip(sum(w * v for w, v in zip(weights, [*x, 1.0], strict=True)), -cm.EDGE, cm.EDGE))
-            total += costs[gate, round((z + cm.EDGE) * (cm.MIX_STEPS - 1) / (2 * cm.EDGE)), int(c)]
-
-    for i, w in enumerate(text):
-        leaf = codes.place.get(w, codes.spelled)
-        very = [j for j in range(max(i - cm.REACH, 0), i) if codes.place.get(text[j], 1 << 20) < min(cm.VERY_COMMON, codes.spelled)]
-        common = names[very[-1]] if very else 0
-        fairly = names[i - 1] if i and codes.place.get(text[i - 1], 1 << 20) < min(cm.FAIRLY_COMMON, codes.spelled) else 0
-        run, followers = 0, []
-        for k in range(1, cm.FOLLOWERS + 1):
-            run = mixed(run + (names[i - k] if i >= k else 0) + k)
-            slot, check = (int(v[0]) for v in cm.places_of(u64(run), states.names.shape[1].bit_length() - 1))
-            name = int(states.names[k - 1][slot])
-            followers.append((int(states.times[k - 1][slot]) if name >> cm.LEAF_BITS == check else 0, name & ((1 << cm.LEAF_BITS) - 1)))
-        symbol(codes.words, leaf, [short(c, 2 * k + 1) for k, c in enumerate((0, common, fairly))], 0, lambda t: min(t, cm.DEPTHS - 1), followers)
+            add(mixer, x, min(t, cm.DEPTHS - 1), reach, c)
         if leaf == codes.spelled:
             spelling = w + b" "
             for place, byte in enumerate(spelling):
                 contexts = []
-                for k, (order, joined) in enumerate(cm.BYTE_ORDERS):
+                for order in cm.BYTE_ORDERS:
                     last = 0
                     for back in range(1, order + 1):
                         last = last * 257 + (spelling[place - back] + 1 if place >= back else 0)
-                    contexts.append(short(mixed(last) + (common if joined else 0), 2 * k + 102))
-                symbol(codes.bytes, byte, contexts, 1, lambda t, at=place: cm.DEPTHS + 2 * min(at, cm.PLACES - 1) + (t > 2))
+                    contexts.append(short(mixed(last), 2 * order + 102))
+                for t, c in enumerate(path(codes.bytes, byte)):
+                    node, x, reach = int(codes.byte_nodes[codes.bytes.node[codes.bytes.start[byte] + t]]), [], 0
+                    for k, context in enumerate(contexts):
+                        slot = (((context ^ node) * 0x9E3779B1) % (1 << 32)) >> (32 - (turns.shape[1].bit_length() - 1))
+                        at, seen = cell(int(turns[k][slot]))
+                        x.append(float(speller.worth[k][at]))
+                        reach = k - cm.LONG + 1 if k >= cm.LONG and seen else reach
+                    add(speller, x, 2 * min(place, cm.PLACES - 1) + (t > 2), reach, c)
     return total
 
 
 def test_lm_scores_equal_a_plain_reimplementation(lm_texts):
     model = lm_model(lm_texts)
-    new = [[b"w1", b"unknown", b"w2", b"w2", b"\xc3\xa9t\xc3\xa9", lm_scoring.END], [lm_scoring.END], lm_texts[3]]
+    new = [[b"w1", b"unknown", b"w2", b"w2", b"\xc3\xa9t\xc3\xa9", lm_scoring.END], [lm_scoring.END], lm_texts[3], lm_texts[6]]
     assert scores_of(model, new) == pytest.approx([brute_log_probability(t, model) for t in new], abs=0.05)
 
 
 def test_bits_are_a_distribution(lm_texts):
-    """After the same tokens, the probabilities of all leaves of either tree sum to 1."""
-    codes, states, mixer = model = lm_model(lm_texts)
-    head = lm_texts[5][:-1]
-    before = scores_of(model, [head])[0]
-    known = [w for w in codes.place]
-    after = scores_of(model, [[*head, w] for w in known])
-    spelled = scores_of(model, [[*head, bytes([b])] for b in range(256) if b != cm.BLANK and bytes([b]) not in codes.place])
-    total = np.exp(after - before).sum()
-    assert total < 1 and np.exp(spelled - before).sum() <= 1 - total + 1e-6
-    # Given that it is spelled, the first byte is one of all bytes.
-    first = [b for b in cm.bits_of([[*head, b"zz"]], codes, states.turns.shape[1].bit_length() - 1) if b.leaf is None]
-    assert first and codes.bytes.length.shape == (256,) and (0.5 ** codes.bytes.length.astype(float)).sum() == pytest.approx(1.0)
-    assert (0.5 ** codes.words.length.astype(float)).sum() == pytest.approx(1.0)
-    assert np.exp(mixer.costs()).sum(-1) == pytest.approx(1.0)
+    """After the same tokens, the probabilities of all leaves of the word tree sum to 1, and so do those of all first bytes of a spelling."""
+    codes, states, mixer, turns, speller = lm_model(lm_texts)
+    head = codes.names(lm_texts[5][:-1])
+    of = lambda names: cm.WordModel.log_probabilities(mixer, names, codes, states)
+    leaves = [np.append(head, np.uint32(k)) for k in [*range(codes.spelled), cm.SPELLED_NAME | 7]]
+    assert np.exp(of(leaves) - of([head])[0]).sum() == pytest.approx(1.0, abs=1e-4)
+    assert np.exp(mixer.costs()).sum(-1) == pytest.approx(1.0) and np.exp(speller.costs()).sum(-1) == pytest.approx(1.0)
+    for tree in (codes.words, codes.bytes):
+        assert (0.5 ** tree.length.astype(float)).sum() == pytest.approx(1.0)
+    # All words of up to one byte: the blank at once, or a byte and then the blank or another byte.
+    one = np.exp(cm.ByteModel.log_probabilities(speller, [b"", *[bytes([b]) for b in range(256) if b != cm.BLANK]], codes, turns))
+    assert 0 < one.sum() < 1
 
 
 def test_counts_are_those_of_all_tokens(lm_texts):
-    """The followers and the turns at the root are what counting token by token gives."""
-    codes, _, _ = lm_model(lm_texts)
-    counts = cm.Counts(12, 16)
-    counts.add(lm_texts[:40], codes)
-    counts.add(lm_texts[40:], codes)
-    counts.settle()
-    n = sum(map(len, lm_texts))
-    root = next(cm.bits_of([lm_texts[0]], codes, 12)).slots[0][0]
-    assert counts.turns[0][root].sum() >= n
+    """The leaves by kind, the turns at the root and the followers are what counting token by token gives."""
+    codes, *_ = lm_model(lm_texts)
+    counts = cm.WordCounts(codes.spelled + 1, 16)
+    counts.add([codes.names(t) for t in lm_texts[:40]], codes)
+    counts.add([codes.names(t) for t in lm_texts[40:]], codes)
+    want = collections.Counter()
+    for t in lm_texts:
+        leaves = [codes.place.get(w, codes.spelled) for w in t]
+        for i, leaf in enumerate(leaves):
+            very = [x for x in leaves[max(i - cm.REACH, 0) : i] if x < min(cm.VERY_COMMON, codes.spelled)]
+            want[very[-1] if very else cm.VERY_COMMON, leaf] += 1
+    assert {(k, i): int(counts.met[k, i]) for k, i in zip(*np.nonzero(counts.met), strict=True)} == want
+    assert codes.words.turns(counts.met.sum(0))[0].sum() == sum(map(len, lm_texts))
     after = collections.defaultdict(collections.Counter)
     for t in lm_texts:
-        for a, b in zip([None, *t], t, strict=False):
-            after[a][codes.place.get(b, codes.spelled)] += 1
-    bits = next(cm.bits_of([lm_texts[0]], codes, 12))
-    slot, check = cm.places_of(bits.before[0], 16)
-    for a, at, mark in zip([None, *lm_texts[0]], slot.tolist(), check.tolist(), strict=False):
+        for k, w in enumerate(t):
+            after[tuple(t[max(k - cm.FOLLOWERS[0], 0) : k])][codes.place.get(w, codes.spelled)] += 1
+    seen = next(cm.seen_of([codes.names(lm_texts[7])], codes.spelled))
+    slot, check = cm.places_of(seen.before[0], 16)
+    for k, (at, mark) in enumerate(zip(slot.tolist(), check.tolist(), strict=True)):
         name = int(counts.names[0][at])
         if name >> cm.LEAF_BITS == mark:
-            leaf = name & ((1 << cm.LEAF_BITS) - 1)
-            assert after[a][leaf] >= counts.times[0][at]
+            assert after[tuple(lm_texts[7][max(k - cm.FOLLOWERS[0], 0) : k])][name & ((1 << cm.LEAF_BITS) - 1)] >= counts.times[0][at] > 0
 
 
 def test_followers_are_merged_by_sums():
@@ -574,11 +586,16 @@ def test_followers_are_merged_by_sums():
 def test_own_counts_are_taken_away():
     """What only the text itself has shown is unseen in learning; the beginning of a text it shares with others."""
     text = [f"x{k}".encode() for k in range(50)]
-    codes, states, _ = lm_model([text, text[::-1]], 16, 60)
-    bits = next(cm.bits_of([text], codes, 16))
-    begun = bits.length[0]
-    assert all((cell[begun:] == 0).all() for cell, _ in cm.follows_of(bits, codes, states, 1)[1:])
-    assert all((cell[begun:] > 0).any() for cell, _ in cm.follows_of(bits, codes, states)[1:])
+    codes, states, *_ = lm_model([text, text[::-1]], 16, 60)
+    seen = next(cm.seen_of([codes.names(text)], codes.spelled))
+    without, withal = cm.rows_of(seen, codes, states, 1), cm.rows_of(seen, codes, states)
+    for k in range(len(cm.FOLLOWERS)):
+        assert (without.follows[k][1][without.row][1:] == -1).all() and (withal.follows[k][1][withal.row][1:] >= 0).any()
+
+
+def test_numbers_are_packed_and_unpacked():
+    names = np.array([0, 1, 70_000, 1 << 31, (1 << 32) - 1], np.uint32)
+    assert (lm_scoring.unpacked(lm_scoring.packed(names)) == names).all()
 
 
 def test_lm_sees_the_order_of_words(spark):
@@ -597,7 +614,8 @@ def test_pieces_of_a_long_text_have_its_bits(lm_texts, monkeypatch):
     model = lm_model(lm_texts)
     long = [w for t in lm_texts for w in t] + [b"%x" % (k * k) for k in range(400)]
     whole = scores_of(model, [long, lm_texts[1]])
-    monkeypatch.setattr(cm, "PIECE_TOKENS", 37)
+    monkeypatch.setattr(cm, "BATCH_TOKENS", 37)
+    monkeypatch.setattr(cm, "PIECE_ROWS", 11)
     monkeypatch.setattr(cm, "PIECE_BYTES", 23)
     assert scores_of(model, [long, lm_texts[1]]) == pytest.approx(whole)
 

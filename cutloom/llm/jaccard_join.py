@@ -53,6 +53,7 @@ BLOCK = 512
 BLOCK_GRAMS = 3_000_000
 #: Links are counted by similarity in so many steps from the threshold to 1.
 STEPS = 40
+SPREADS = 2
 #: What names a pair of blocks: its cluster, the trie node if only a node's texts are compared (else -1, 0), and the blocks.
 PAIR = ["cluster", "tree", "path", "low", "high"]
 DENSE_FROM = 24
@@ -326,18 +327,21 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
 def _clusters(edges: DataFrame, at: str) -> DataFrame:
     """Edges (a, b) of texts a and first texts b of nodes -> (node, root), the root being the least node of its component.
 
-    A text only links the few first texts of its nodes to the least of these, so the components are those of a
-    graph of first texts, which is far smaller than that of all texts.
+    Texts and nodes first tell each other the least number they know, ``SPREADS`` times, which settles most components;
+    the numbers that still meet in a node are joined as a graph of their own, which is far smaller than that of all texts.
     """
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    heads = edges.select(F.col("b").alias("a")).distinct()
-    among = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    among = among.unionAll(least.join(heads, "a", "left_semi").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    rows = edges.unionAll(edges.select("b", "b")).distinct()
+    known = rows.join(rows.groupBy("a").agg(F.min("b").alias("l")), "a")
+    for _ in range(SPREADS):
+        of_nodes = known.groupBy("b").agg(F.min("l").alias("n"))
+        of_texts = known.select("a", "b").join(of_nodes, "b").groupBy("a").agg(F.min("n").alias("l"))
+        known = rows.join(of_texts, "a")
+    known = staged(known, f"{at}/known")
+    of_nodes = known.groupBy("b").agg(F.min("l").alias("n"))
+    among = known.join(of_nodes, "b").where("l <> n").select(F.col("l").alias("a"), F.col("n").alias("b")).distinct()
     roots = components(among, f"{at}/heads")
-    named = least.select(F.col("a").alias("node"), F.col("m").alias("head")).unionAll(heads.select(F.col("a").alias("node"), F.col("a").alias("head")))
-    # A first text that has a first text of its own is in one component with it.
-    found = named.join(roots.select(F.col("node").alias("head"), F.col("root").alias("top")), "head", "left").select("node", F.coalesce("top", "head").alias("top"))
-    found = staged(found.groupBy("node").agg(F.min("top").alias("top")), f"{at}/named")
+    found = known.select(F.col("a").alias("node"), F.col("l").alias("head")).distinct()
+    found = found.join(roots.select(F.col("node").alias("head"), F.col("root").alias("top")), "head", "left").select("node", F.coalesce("top", "head").alias("top"))
     first = found.groupBy("top").agg(F.min("node").alias("root"))
     return found.join(first, "top").select("node", "root")
 

@@ -1,7 +1,6 @@
 """Captions: chunks of words, wrapped lines, layout, subtitle files.
 
-Where a chunk ends depends on the chunk so far, so chunks are a fold over a recording's words. The
-fold's state is small; the words it closes over are one array per recording.
+Where a chunk ends depends on the chunk so far, so chunks are a fold along a recording's words, whose state is small.
 """
 
 from __future__ import annotations
@@ -10,39 +9,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import clamp, clock
+from cutloom.operators.folds import scan
 from cutloom.operators.transcript import ENDS_SENTENCE
 
 
-def chunk_ids(words: Column, most_words: int = 4, most_chars: int = 24, most_ms: int = 1800, pause_ms: int = 350) -> Column:
-    """Array of chunk numbers for an array of words (text, start_ms, end_ms) in order."""
-    state = F.struct(F.lit(-1).alias("id"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit(False).alias("closed"), F.array().cast("array<int>").alias("out"))
+def chunk_words(words: DataFrame, most_words: int = 4, most_chars: int = 24, most_ms: int = 1800, pause_ms: int = 350) -> DataFrame:
+    """Words -> video_id, seq, chunk_idx, text, start_ms, end_ms: the chunk of each word, before a lone last word is merged."""
 
-    def step(s: Column, w: Column) -> Column:
-        size = F.length(w["text"])
-        new = (s["id"] < 0) | (w["start_ms"] - s["end"] > pause_ms) | (s["n"] >= most_words) | (s["chars"] + size > most_chars) | (w["end_ms"] - s["start"] > most_ms) | s["closed"]
-        number = s["id"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            number.alias("id"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), (F.when(new, 0).otherwise(s["chars"]) + size + 1).alias("chars"),
-            F.when(new, w["start_ms"]).otherwise(s["start"]).alias("start"), w["end_ms"].alias("end"), w["text"].rlike(ENDS_SENTENCE).alias("closed"), F.concat(s["out"], F.array(number)).alias("out"),
-        )
+    def begin():
+        number, n, chars, start, finish, closed = -1, 0, 0, 0, 0, False
 
-    return F.aggregate(words, state, step, lambda s: s["out"])
+        def step(size: int, start_ms: int, end_ms: int, closes: bool) -> int:
+            nonlocal number, n, chars, start, finish, closed
+            if number < 0 or closed or n >= most_words or chars + size > most_chars or start_ms - finish > pause_ms or end_ms - start > most_ms:
+                number, n, chars, start = number + 1, 0, 0, start_ms
+            n, chars, finish, closed = n + 1, chars + size + 1, end_ms, closes
+            return number
+
+        return step
+
+    marked = words.select("video_id", "seq", "text", "start_ms", "end_ms", F.length("text").alias("_size"), F.col("text").rlike(ENDS_SENTENCE).alias("_closes"))
+    numbered = scan(marked, ["seq"], ["_size", "start_ms", "end_ms", "_closes"], begin, "chunk_idx", "bigint")
+    return numbered.select("video_id", "seq", "chunk_idx", "text", "start_ms", "end_ms")
 
 
 def caption_chunks(words: DataFrame, **limits: int) -> DataFrame:
     """Words -> video_id, chunk_idx, start_ms, end_ms, text, n_words. A lone last word joins the chunk before unless a pause parts them."""
     pause = limits.get("pause_ms", 350)
-    got = words.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "start_ms", "end_ms"))).alias("ws"))
-    numbered = got.select("video_id", "ws", chunk_ids(F.col("ws"), **limits).alias("ids"))
-    rows = numbered.select("video_id", F.posexplode("ws").alias("at", "w"), "ids").select("video_id", F.get("ids", F.col("at")).cast("bigint").alias("chunk_idx"), "w")
-    ends = rows.groupBy("video_id", "chunk_idx").agg(F.count(F.lit(1)).alias("n"), F.min_by("w", "w.seq").alias("first"), F.max_by("w", "w.seq").alias("last"))
+    rows = chunk_words(words, **limits).select("video_id", "chunk_idx", F.struct("seq", "text", "start_ms", "end_ms").alias("w"))
+    ends = rows.groupBy("video_id", "chunk_idx").agg(F.sort_array(F.collect_list("w")).alias("ws"))
     by = Window.partitionBy("video_id").orderBy("chunk_idx")
-    lone = (F.lead("chunk_idx").over(by).isNull()) & (F.col("n") == 1) & (F.col("first.start_ms") - F.lag("last.end_ms").over(by) <= pause)
-    moved = ends.select("video_id", "chunk_idx", (F.col("chunk_idx") - F.when(lone, 1).otherwise(0)).alias("to_idx"))
-    merged = rows.join(moved, ["video_id", "chunk_idx"]).select("video_id", F.col("to_idx").cast("bigint").alias("chunk_idx"), "w")
-    from cutloom.operators.transcript import joined_words
-
-    return joined_words(merged, ["video_id", "chunk_idx"])
+    first, last = F.element_at("ws", 1), F.element_at("ws", -1)
+    lone = F.lead("chunk_idx").over(by).isNull() & (F.size("ws") == 1) & (first["start_ms"] - F.lag(last["end_ms"]).over(by) <= pause)
+    moved = ends.select("video_id", (F.col("chunk_idx") - F.when(lone, 1).otherwise(0)).alias("chunk_idx"), "ws")
+    whole = moved.groupBy("video_id", "chunk_idx").agg(F.sort_array(F.flatten(F.collect_list("ws"))).alias("ws"))
+    return whole.select("video_id", "chunk_idx", first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"), F.size("ws").cast("bigint").alias("n_words"))
 
 
 def cue(index: Column | None, start: Column, end: Column, text: Column, separator: str) -> Column:

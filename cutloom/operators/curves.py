@@ -1,14 +1,14 @@
 """Curves of one value per sample: swell, smoothing, cut detection, down-sampling.
 
-What looks at neighbours is a window function; what depends on the last hit is a fold over the
-video's hits, which are few, inside one row.
+What looks at neighbours is a window function; what depends on the last hit is a fold along the video.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.operators.folds import scan
 from cutloom.operators.grid import by_video, div
 from cutloom.operators.stats import normalize
 
@@ -41,16 +41,27 @@ def cut_hits(curve: DataFrame, ratio: float = 3.0, least: float = 15.0, fixed: f
     return adaptive_ratio(curve, cap=ratio + 1).where(((F.col("ratio") > ratio) & (F.col("value") > least)) | (F.col("value") > fixed))
 
 
-def debounce(indices: Column, gap: int) -> Column:
-    """Fold of a sorted array: keep an index that is ``gap`` after the last kept."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(indices, start, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(F.concat(F.array(F.lit(-(1 << 40))), acc), -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
+def debounce(hits: DataFrame, gap: int) -> DataFrame:
+    """Keep a hit (video_id, i) that is ``gap`` after the last kept."""
+
+    def begin():
+        kept = None
+
+        def step(i: int) -> bool:
+            nonlocal kept
+            if kept is not None and i - kept < gap:
+                return False
+            kept = i
+            return True
+
+        return step
+
+    return scan(hits.select("video_id", "i"), ["i"], ["i"], begin, "kept", "boolean").where("kept").select("video_id", "i")
 
 
 def detect_cuts(curve: DataFrame, gap: int = 15) -> DataFrame:
     """video_id, i of the debounced cuts."""
-    hits = cut_hits(curve).groupBy("video_id").agg(F.sort_array(F.collect_list("i")).alias("hits"))
-    return hits.select("video_id", F.explode(debounce(F.col("hits"), gap)).alias("i"))
+    return debounce(cut_hits(curve), gap)
 
 
 def rising_edges(curve: DataFrame, threshold: float = 0.5, window: int = 100) -> DataFrame:
@@ -63,11 +74,19 @@ def rising_edges(curve: DataFrame, threshold: float = 0.5, window: int = 100) ->
 
 def sample_frames(frames: DataFrame, step_ms: int) -> DataFrame:
     """(video_id, pts_ms) -> the frames a step sampler shows: next is the later of last due + step and pts + 1."""
-    one = frames.groupBy("video_id").agg(F.sort_array(F.collect_list("pts_ms")).alias("pts"))
-    start = F.struct(F.lit(0).cast("bigint").alias("due"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate(
-        "pts", start,
-        lambda s, p: F.when(p >= s["due"], F.struct(F.greatest(s["due"] + step_ms, p + 1).alias("due"), F.concat(s["kept"], F.array(p)).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    return one.select("video_id", F.posexplode(fold).alias("i", "pts_ms")).withColumn("i", F.col("i").cast("bigint"))
+
+    def begin():
+        due = 0
+
+        def step(pts: int) -> bool:
+            nonlocal due
+            if pts < due:
+                return False
+            due = max(due + step_ms, pts + 1)
+            return True
+
+        return step
+
+    shown = scan(frames.select("video_id", "pts_ms"), ["pts_ms"], ["pts_ms"], begin, "shown", "boolean").where("shown")
+    i = F.row_number().over(Window.partitionBy("video_id").orderBy("pts_ms")) - 1
+    return shown.select("video_id", i.cast("bigint").alias("i"), "pts_ms")

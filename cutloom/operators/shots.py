@@ -36,19 +36,24 @@ def cut_targets(shots: DataFrame, preset: dict) -> DataFrame:
 def snap_to_trough(targets: DataFrame, loudness: DataFrame, window_ms: int, n: int, hz: int = 4) -> DataFrame:
     """Add cut_ms: the quietest step within the window, the first if several, the target without loudness.
 
-    Steps become rows that meet the samples in an equi-join on (video, sample), not a range join. A
-    step that starts between samples covers two; its value is their mean.
+    A video's targets and its curve meet as one row each, so both sides stay where shots and curves are partitioned by
+    video already, and the steps of a target are looked up in place. A step that starts between samples covers two; its value is their mean.
     """
     step = max(1, 1000 // hz)
-    low = F.greatest(F.col("start_ms"), F.col("target_ms") - window_ms)
-    high = F.least(F.col("end_ms"), F.col("target_ms") + window_ms)
-    steps = targets.withColumn("t", F.explode(F.sequence(low, high, F.lit(step).cast("bigint"))))
+    others = [c for c in targets.columns if c != "video_id"]
+    asked = targets.groupBy("video_id").agg(F.collect_list(F.struct(*others)).alias("targets"))
+    curve = loudness.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("curve"))
+    met = asked.join(curve, "video_id", "left").withColumn("whole", F.size("curve") == n)
+    # Samples lie at their places where none is missing, and are searched for where some are.
     at = lambda ms: clamp(div(ms * hz, 1000), 0, n - 1)
-    samples = steps.select(*targets.columns, "t", F.explode(F.array_distinct(F.array(at(F.col("t")), at(F.col("t") + step - 1)))).alias("i"))
-    valued = samples.join(loudness, ["video_id", "i"]).groupBy(*targets.columns, "t").agg(F.avg("value").alias("v"))
-    best = valued.groupBy(*targets.columns).agg(F.min_by("t", F.struct("v", "t")).alias("trough"))
-    keys = ["video_id", "shot_index", "k"]
-    return targets.join(best.select(*keys, "trough"), keys, "left").select(*targets.columns, F.coalesce("trough", "target_ms").alias("cut_ms"))
+    value = lambda i: F.when(F.col("whole"), F.get("curve", i.cast("int"))["value"]).otherwise(F.get(F.filter("curve", lambda s: s["i"] == i), F.lit(0))["value"])
+    mean = lambda a, b: F.coalesce((a + b) / 2, a, b)
+    low = lambda t: F.greatest(t["start_ms"], t["target_ms"] - window_ms)
+    high = lambda t: F.least(t["end_ms"], t["target_ms"] + window_ms)
+    valued = lambda t: F.transform(F.sequence(low(t), high(t), F.lit(step).cast("bigint")), lambda x: F.struct(mean(value(at(x)), value(at(x + step - 1))).alias("v"), x.alias("t")))
+    trough = lambda t: F.array_min(F.filter(valued(t), lambda s: s["v"].isNotNull()))["t"]
+    found = F.transform("targets", lambda t: F.struct(*[t[c].alias(c) for c in others], F.coalesce(trough(t), t["target_ms"]).alias("cut_ms")))
+    return met.select("video_id", F.inline(found)).select(*targets.columns, "cut_ms")
 
 
 def snap_to_sentence(targets: DataFrame, ends: DataFrame, window_ms: int) -> DataFrame:

@@ -20,8 +20,16 @@ def floor_rank(value: str | Column, p: float) -> Column:
 
 
 def ranges(rows: DataFrame, keys: list[str], names: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """keys, <name>_lo, <name>_hi for each name: one aggregation for all names."""
-    return rows.groupBy(*keys).agg(*[floor_rank(n, p).alias(f"{n}_{s}") for n in names for p, s in ((low, "lo"), (high, "hi"))])
+    """keys, <name>_lo, <name>_hi for each name: one aggregation for all names, each sorted once."""
+    return floor_ranks(rows, keys, {f"{n}_{s}": (n, p) for n in names for p, s in ((low, "lo"), (high, "hi"))})
+
+
+def floor_ranks(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """keys and for each name wanted the percentile of a column; a column's values are sorted once for all its percentiles."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    held = rows.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(f"_sorted_{c}") for c in columns])
+    place = lambda values, p: F.element_at(values, F.floor((F.size(values) - 1) * F.lit(p)).cast("int") + 1)
+    return held.select(*keys, *[place(F.col(f"_sorted_{c}"), p).alias(name) for name, (c, p) in wanted.items()])
 
 
 def normalize(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

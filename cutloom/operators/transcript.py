@@ -12,6 +12,16 @@ from cutloom.dims import FILLERS
 from cutloom.operators.grid import div
 
 ENDS_SENTENCE = r"[.!?]\s*$"
+# What counts as white space around lines, and what ends a line.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = r"\r\n|\r|\n"
+# Fixed value: a selected line is a number, in brackets or not, a separator and a reason.
+HOOK = r"^[\[(\s]*(\d+)[\s|:.)\]\-]+(.+)$"
+TITLE_MARKS = "\"'*# "
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _by_seq() -> Window:
@@ -19,10 +29,11 @@ def _by_seq() -> Window:
 
 
 def parse_tsv(raw: DataFrame) -> DataFrame:
-    """(video_id, raw) lines ``text TAB start TAB end`` -> words; malformed lines are skipped."""
-    lines = raw.select("video_id", F.posexplode(F.split("raw", "\n")).alias("line", "row"))
-    f = F.split("row", "\t")
-    parsed = lines.where(F.size(f) == 3).select("video_id", "line", F.trim(f[0]).alias("text"), f[1].try_cast("bigint").alias("start_ms"), f[2].try_cast("bigint").alias("end_ms"))
+    """(video_id, raw) lines ``text TAB start TAB end`` -> words; malformed lines are skipped, numbers among blanks are malformed."""
+    lines = raw.select("video_id", F.posexplode(F.split("raw", LINE_END, -1)).alias("line", "row"))
+    f = F.split("row", "\t", -1)
+    number = lambda text: F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    parsed = lines.where(F.size(f) == 3).select("video_id", "line", trimmed(f[0]).alias("text"), number(f[1]).alias("start_ms"), number(f[2]).alias("end_ms"))
     good = parsed.where((F.col("text") != "") & (F.col("end_ms") >= F.col("start_ms")))
     seq = F.row_number().over(Window.partitionBy("video_id").orderBy("line")) - 1
     return good.select("video_id", seq.cast("bigint").alias("seq"), "text", "start_ms", "end_ms")
@@ -73,11 +84,20 @@ def concat_spans(spans: DataFrame, rate: int = 16000, least: int = 1600, gap: in
 
 
 def to_source_time(words: DataFrame, spans: DataFrame) -> DataFrame:
-    """Words of the joined recording -> source time, by the first span that holds their start (ends included); others go."""
-    met = words.join(spans, "video_id").where(F.col("start_ms").between(F.col("concat_start_ms"), F.col("concat_end_ms")))
-    first = met.withColumn("_nth", F.row_number().over(Window.partitionBy("video_id", "seq").orderBy("k"))).where("_nth = 1")
-    shift = F.col("src_start_ms") - F.col("concat_start_ms")
-    return first.select("video_id", "seq", "text", (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"))
+    """Words of the joined recording -> source time, by the first span that holds their start (ends included); others go.
+
+    Spans follow each other in the joined recording, so both are sorted together once: the first span that holds a
+    time is the one before it that begins last, or, where two touch there, the one that ends at it.
+    """
+    place = F.struct(F.col("concat_start_ms").alias("from_at"), F.col("concat_end_ms").alias("to_at"), F.col("src_start_ms").alias("source"))
+    before = F.lag("span").over(Window.partitionBy("video_id").orderBy("concat_start_ms", "k"))
+    marks = spans.withColumn("span", place).select("video_id", F.col("concat_start_ms").alias("at"), F.lit(0).alias("kind"), F.struct("span", before.alias("before")).alias("mark"))
+    rows = words.select("video_id", F.col("start_ms").alias("at"), F.lit(1).alias("kind"), F.struct("seq", "text", "start_ms", "end_ms").alias("word"))
+    both = marks.select("*", F.lit(None).cast(rows.schema["word"].dataType).alias("word")).unionByName(rows.select("*", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark")))
+    met = both.withColumn("mark", F.last("mark", True).over(Window.partitionBy("video_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
+    span = F.when(F.col("at") <= F.col("mark.before.to_at"), F.col("mark.before")).when(F.col("at") <= F.col("mark.span.to_at"), F.col("mark.span"))
+    held = met.withColumn("span", span).where("span IS NOT NULL").withColumn("shift", F.col("span.source") - F.col("span.from_at"))
+    return held.select("video_id", "word.seq", "word.text", (F.col("word.start_ms") + F.col("shift")).alias("start_ms"), (F.col("word.end_ms") + F.col("shift")).alias("end_ms"))
 
 
 def merge_subwords(tokens: DataFrame) -> DataFrame:
@@ -98,18 +118,15 @@ def merge_subwords(tokens: DataFrame) -> DataFrame:
 
 def parse_title(reply: Column, most: int = 80) -> Column:
     """The first line that is not blank without its label and marks."""
-    clean = lambda line: F.btrim(F.trim(F.regexp_replace(F.trim(line), "^Title:", "")), F.lit("\"'*# "))
-    lines = F.filter(F.transform(F.split(reply, "\n"), clean), lambda x: F.trim(x) != "")
+    clean = lambda line: F.btrim(trimmed(F.regexp_replace(trimmed(line), "^Title:", "")), F.lit(TITLE_MARKS))
+    lines = F.filter(F.transform(F.split(reply, LINE_END, -1), clean), lambda x: trimmed(x) != "")
     return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, most), F.lit(""))
 
 
-HOOK = r"^[\[(\s]*(\d+)[\s|:.)\]\-]+(.+)$"
-
-
 def parse_hooks(replies: DataFrame) -> DataFrame:
     """(video_id, reply) -> video_id, pos, idx, reason; malformed lines are skipped, the first of an index stays."""
-    lines = replies.select("video_id", F.posexplode(F.split("reply", "\n")).alias("line", "row")).withColumn("row", F.trim("row"))
-    found = lines.where(F.col("row").rlike(HOOK)).select("video_id", "line", F.regexp_extract("row", HOOK, 1).try_cast("int").alias("idx"), F.trim(F.regexp_extract("row", HOOK, 2)).alias("reason"))
+    lines = replies.select("video_id", F.posexplode(F.split("reply", LINE_END, -1)).alias("line", "row")).withColumn("row", trimmed(F.col("row")))
+    found = lines.where(F.col("row").rlike(HOOK)).select("video_id", "line", F.regexp_extract("row", HOOK, 1).try_cast("int").alias("idx"), trimmed(F.regexp_extract("row", HOOK, 2)).alias("reason"))
     first = found.where("idx IS NOT NULL").withColumn("_nth", F.row_number().over(Window.partitionBy("video_id", "idx").orderBy("line"))).where("_nth = 1")
     pos = F.row_number().over(Window.partitionBy("video_id").orderBy("line")) - 1
     return first.select("video_id", pos.cast("bigint").alias("pos"), F.col("idx").cast("bigint").alias("idx"), "reason")

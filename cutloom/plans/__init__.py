@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("editing", "signals", "text", "ingest", "binary", "streams")
+MODULES = ("editing", "signals", "text", "ingest", "binary", "streams", "pieces")
 
 
 def load() -> None:

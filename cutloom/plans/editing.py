@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -230,7 +231,21 @@ SELECT video_id, ord, src_in_ms, src_out_ms, CASE WHEN ord = 0 THEN 'HARD_CUT' E
     )(partial(_arranged, _o))
 
 
-@query()
+def _variants_sql(p: dict, n: int) -> str:
+    """CTEs ``chs_v0``, ``chs_v1``, ...: greedy choices one after the other, each from the units that earlier ones left."""
+    parts = []
+    for k in range(n):
+        named = re.sub(r"\b(ini|grd2|walk|chs|st|nft)\b", lambda m, k=k: f"{m[1]}_v{k}", B.greedy_sql(p))
+        left = "SELECT * FROM nft" + "".join(f" ANTI JOIN chs_v{j} USING (video_id, unit_seq)" for j in range(k))
+        parts.append(f"nft_v{k} AS ({left}),\n{named}")
+    return ",\n".join(parts)
+
+
+@query(_edit_sql(SHORT) + ",\n" + _variants_sql(SHORT, 3) + f""",
+alv AS ({' UNION ALL '.join(f'SELECT {k} AS variant, * FROM chs_v{k}' for k in range(3))}),
+hk AS (SELECT *, first_value(picked) OVER (PARTITION BY video_id, variant ORDER BY round(score, 9) DESC, picked) AS hook FROM alv),
+od AS (SELECT *, row_number() OVER (PARTITION BY video_id, variant ORDER BY {_order_sql(SHORT['ordering'])}) - 1 AS ord FROM hk)
+SELECT video_id, variant, ord, src_in_ms, src_out_ms, CASE WHEN ord = 0 THEN 'HARD_CUT' ELSE '{SHORT['transition']}' END AS transition FROM od""")
 def edit_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three edits per video, each from the units that earlier ones left."""
     return C.arrange(_chosen(spark, sf_dir, SHORT, 3), SHORT["ordering"], SHORT["transition"])

@@ -238,12 +238,37 @@ f AS (SELECT video_id, list_reduce(list_transform(xs, lambda q: {{'x': q.x, 't':
   {{'x': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'o': CAST([] AS DOUBLE[])}}).o AS o FROM a)
 SELECT video_id, j - 1 AS i, round(o[j], 6) AS value FROM (SELECT *, unnest(range(1, len(o) + 1)) AS j FROM f)""")
 def one_euro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.one_euro(targets(spark, sf_dir).withColumn("value", F.col("cx"))).select("video_id", "i", *r6("value"))
-
-
-@query()
+    return R.one_euro(targets(spark, sf_dir).select("video_id", "i", "t_sec", F.col("cx").alias("value"))).select("video_id", "i", *r6("value"))
+
+
+def _euro_sql(rows: str, value: str, name: str) -> str:
+    """The filter along the struct list ``rows`` (t and values in order), as a list."""
+    weight = lambda cutoff: _A.format(fc=cutoff, dt="dt")
+    speed, smooth = weight("1.0::DOUBLE"), weight("1.0::DOUBLE + 0.007::DOUBLE * abs(v)")
+    return f"""list_reduce(list_transform({rows}, lambda q: {{'x': q.{value}, 't': q.t, 'v': 0.0::DOUBLE, 'o': CAST([] AS DOUBLE[])}}), lambda s, q: CASE WHEN len(s.o) = 0 THEN {{'x': q.x, 't': q.t, 'v': 0.0::DOUBLE, 'o': [q.x]}} ELSE
+  list_transform([CASE WHEN q.t - s.t > 1e-6 THEN q.t - s.t ELSE 1e-3::DOUBLE END], lambda dt: list_transform([{speed} * (q.x - s.x) / dt + (1 - {speed}) * s.v], lambda v:
+    list_transform([{smooth} * q.x + (1 - {smooth}) * s.x], lambda e: {{'x': e, 't': q.t, 'v': v, 'o': list_append(s.o, e)}})[1])[1])[1] END,
+  {{'x': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'o': CAST([] AS DOUBLE[])}}).o AS {name}"""
+
+
+def _reach_sql(value: str, name: str) -> str:
+    """Places along the struct list ``ps`` that move at most half the frame a second, as a list."""
+    reach = "0.5::DOUBLE * greatest(q.t - s.t, 1e-3::DOUBLE)"
+    return f"""list_reduce(list_transform(ps, lambda q: {{'x': q.{value}, 't': q.t, 'o': CAST([] AS DOUBLE[])}}), lambda s, q: list_transform([least(greatest(CASE WHEN len(s.o) = 0 THEN q.x ELSE least(greatest(q.x, s.x - {reach}), s.x + {reach}) END, 0.0::DOUBLE), 1.0::DOUBLE)],
+  lambda e: {{'x': e, 't': q.t, 'o': list_append(s.o, e)}})[1], {{'x': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'o': CAST([] AS DOUBLE[])}}).o AS {name}"""
+
+
+@query(f"""WITH {TARGETS}, c AS (SELECT video_id, t_ms / 1000.0::DOUBLE AS cut_sec FROM pts WHERE event_type = 'purchase'),
+e AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM trg) WHERE n >= 2),
+s AS (SELECT e.*, (SELECT count(*) FROM c WHERE c.video_id = e.video_id AND c.cut_sec <= e.t_sec) AS segment FROM e),
+a AS (SELECT video_id, segment, list({{'t': t_sec, 'i': i, 'x': cx, 'y': cy, 'z': size}} ORDER BY t_sec, i) AS xs FROM s GROUP BY ALL),
+f AS (SELECT video_id, xs, {_euro_sql('xs', 'x', 'fx')}, {_euro_sql('xs', 'y', 'fy')}, {_euro_sql('xs', 'z', 'fz')} FROM a),
+r AS (SELECT video_id, xs[j].t AS t, xs[j].i AS i, fx[j] AS x, fy[j] AS y, fz[j] AS z FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS j FROM f)),
+w AS (SELECT video_id, list({{'t': t, 'i': i, 'x': x, 'y': y, 'z': z}} ORDER BY t, i) AS ps FROM r GROUP BY 1),
+g AS (SELECT video_id, ps, {_reach_sql('x', 'gx')}, {_reach_sql('y', 'gy')} FROM w)
+SELECT video_id, ps[j].i AS i, round(ps[j].t, 6) AS t_sec, round(gx[j], 6) AS cx, round(gy[j], 6) AS cy, round(least(greatest(ps[j].z, 0.1::DOUBLE), 1.0::DOUBLE), 6) AS size FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS j FROM g)""")
 def crop_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.crop_trajectory(targets(spark, sf_dir), _cuts_sec(spark, sf_dir)).select("video_id", *[F.round(c, 6).alias(c) for c in ("t_sec", "cx", "cy", "size")])
+    return R.crop_trajectory(targets(spark, sf_dir), _cuts_sec(spark, sf_dir)).select("video_id", "i", *[F.round(c, 6).alias(c) for c in ("t_sec", "cx", "cy", "size")])
 
 
 @query(f"""WITH {TARGETS}, k AS (SELECT video_id, t_sec, max(cx) AS cx FROM trg GROUP BY ALL), q AS (SELECT video_id, unnest(range(0, 260, 10))::DOUBLE AS at_sec FROM vids),

@@ -103,14 +103,16 @@ def vad_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.speech_curve(pcm(spark, sf_dir), 1000, 30).select("video_id", "i", *r6("value"))
 
 
-@query(f"""WITH {PCM_SQL}, s AS (SELECT video_id, unnest(range(100, 300)) AS i FROM (SELECT DISTINCT video_id FROM pcm) UNION ALL SELECT video_id, unnest(range(200, 400)) FROM (SELECT DISTINCT video_id FROM pcm)),
-r AS (SELECT video_id, sqrt(sum(value / 32768.0::DOUBLE * (value / 32768.0::DOUBLE)) / count(*)) AS rms FROM s JOIN pcm USING (video_id, i) GROUP BY 1)
+@query(f"""WITH {PCM_SQL}, s AS (SELECT video_id, value FROM pcm WHERE i % 400 BETWEEN 100 AND 299 UNION ALL SELECT video_id, value FROM pcm WHERE i % 400 >= 200),
+r AS (SELECT video_id, sqrt(sum(value / 32768.0::DOUBLE * (value / 32768.0::DOUBLE)) / count(*)) AS rms FROM s GROUP BY 1)
 SELECT v.video_id, round(CASE WHEN coalesce(rms, 0) >= 1e-4 THEN least(greatest(0.12::DOUBLE / rms, 0.5::DOUBLE), 4.0::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS gain FROM (SELECT DISTINCT video_id FROM pcm) v LEFT JOIN r USING (video_id)""")
 def makeup_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over two spans that overlap, in every 400 ms of a recording."""
     p = pcm(spark, sf_dir)
-    vids = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("video_id")).distinct()
-    spans = vids.select("video_id", F.inline(F.array(F.struct(F.lit(100).alias("from_ms"), F.lit(300).alias("to_ms")), F.struct(F.lit(200).alias("from_ms"), F.lit(400).alias("to_ms")))))
-    return U.makeup_gain(p, spans, vids, 1000).select("video_id", *r6("gain"))
+    vids = p.groupBy("video_id").agg(F.max("i").alias("last"))
+    every = vids.select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"), F.lit(400).cast("bigint"))).alias("at"))
+    spans = every.select("video_id", F.explode(F.array(F.lit(100), F.lit(200))).alias("after"), "at").select("video_id", (F.col("at") + F.col("after")).alias("from_ms"), (F.col("at") + F.col("after") + 200).alias("to_ms"))
+    return U.makeup_gain(p, spans, vids.select("video_id"), 1000).select("video_id", *r6("gain"))
 
 
 @query(f"WITH {PCM_SQL} SELECT video_id, i, least(greatest(CAST(trunc(value * 3.7::DOUBLE) AS BIGINT), -32768), 32767) AS value FROM pcm")
@@ -151,12 +153,14 @@ def duck_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.one_pole(_duck(spark, sf_dir)).select("video_id", "j", *r6("gain"))
 
 
-@query(f"""WITH {PCM_SQL}, e AS (SELECT video_id, w AS j, round(0.2::DOUBLE + rms, 6) AS gain FROM (SELECT * FROM (SELECT video_id, i // 50 AS w, sqrt(sum(value / 32768.0::DOUBLE * (value / 32768.0::DOUBLE)) / 50) AS rms FROM pcm GROUP BY ALL HAVING count(*) = 50)) WHERE w < 8),
+@query(f"""WITH {PCM_SQL}, e AS (SELECT video_id, w AS j, round(0.2::DOUBLE + rms, 6) AS gain FROM (SELECT * FROM (SELECT video_id, i // 50 AS w, sqrt(sum(value / 32768.0::DOUBLE * (value / 32768.0::DOUBLE)) / 50) AS rms FROM pcm GROUP BY ALL HAVING count(*) = 50)) QUALIFY w < max(w) OVER (PARTITION BY video_id)),
 l AS (SELECT video_id, max(j) AS last FROM e GROUP BY 1)
 SELECT p.video_id, p.i, least(greatest(CAST(trunc(p.value * coalesce(e.gain, 0.6::DOUBLE)) AS BIGINT), -32768), 32767) AS value FROM pcm p LEFT JOIN l ON l.video_id = p.video_id LEFT JOIN e ON e.video_id = p.video_id AND e.j = least(CAST(floor(p.i / 1000.0::DOUBLE * 20) AS BIGINT), l.last)""")
 def pcm_duck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelope has all windows but the last, so that a held gain shows as well."""
     p = pcm(spark, sf_dir)
-    env = U.windows(p, 1000, 50).where("w < 8").select("video_id", F.col("w").alias("j"), F.round(F.lit(0.2) + F.col("rms"), 6).alias("gain"))
+    windows = U.windows(p, 1000, 50).withColumn("most", F.max("w").over(Window.partitionBy("video_id"))).where("w < most")
+    env = windows.select("video_id", F.col("w").alias("j"), F.round(F.lit(0.2) + F.col("rms"), 6).alias("gain"))
     return U.duck(p, env, 1000, 20)
 
 

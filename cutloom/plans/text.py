@@ -65,27 +65,35 @@ def title_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.title_prompt(F.col("text")).alias("prompt"))
 
 
-_TITLE = "list_filter(list_transform(string_split({r}, chr(10)), lambda x: trim(trim(regexp_replace(trim(x), '^Title:', '')), '\"''*# ')), lambda x: trim(x) <> '')"
+# SQL literals of the white space and the line ends of replies.
+_WHITE = "'" + T.WHITE + "'"
+_LINES = "string_split_regex({x}, '" + T.LINE_END + "')"
+_MARKS = "'" + T.TITLE_MARKS.replace("'", "''") + "'"
+_TITLE = f"list_filter(list_transform({_LINES.format(x='reply')}, lambda x: trim(trim(regexp_replace(trim(x, {_WHITE}), '^Title:', ''), {_WHITE}), {_MARKS})), lambda x: trim(x, {_WHITE}) <> '')"
 
 
-@query(f"WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(10) || ' Title: \"' || text || '\"' ELSE '## ' || text END AS reply FROM conversations) SELECT conv_id, turn, coalesce(left({_TITLE.format(r='reply')}[1], 80), '') AS title FROM r")
+@query(f"""WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN chr(10) || ' Title: "' || text || '"' WHEN 1 THEN '## ' || text
+  ELSE chr(13) || chr(10) || chr(9) || 'Title: ' || left(text, 30) || chr(9) || chr(13) || chr(10) || 'second' END AS reply FROM conversations) SELECT conv_id, turn, coalesce(left({_TITLE}[1], 80), '') AS title FROM r""")
 def title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('\n Title: "'), "text", F.lit('"'))).otherwise(F.concat(F.lit("## "), "text"))
+    """Replies with their label after a line end of either kind, blanks and tabs around it, or marks in front."""
+    turn = F.col("turn") % 3
+    reply = F.when(turn == 0, F.concat(F.lit('\n Title: "'), "text", F.lit('"'))).when(turn == 1, F.concat(F.lit("## "), "text"))
+    reply = reply.otherwise(F.concat(F.lit("\r\n\tTitle: "), F.substring("text", 1, 30), F.lit("\t\r\nsecond")))
     return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.parse_title(reply).alias("title"))
 
 
-REPLIES = """rep AS (SELECT conv_id * 1000 + turn AS video_id, 'Here are picks:' || chr(10) || (conv_id % 7) || ' | ' || left(text, 20) || chr(10) || '[' || turn || ']: quote' || chr(10) || (conv_id % 7) || ' - again' || chr(10) || '99999999999 | far' || chr(10) || 'none' AS reply FROM conversations)"""
+REPLIES = """rep AS (SELECT conv_id * 1000 + turn AS video_id, 'Here are picks:' || chr(13) || chr(10) || (conv_id % 7) || ' | ' || left(text, 20) || chr(9) || chr(13) || chr(10) || chr(9) || '[' || turn || ']: quote' || chr(10) || (conv_id % 7) || ' - again' || chr(13) || '99999999999 | far' || chr(10) || 'none' AS reply FROM conversations)"""
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "conversations")
     k = (F.col("conv_id") % 7).cast("string")
-    reply = F.concat(F.lit("Here are picks:\n"), k, F.lit(" | "), F.substring("text", 1, 20), F.lit("\n["), F.col("turn").cast("string"), F.lit("]: quote\n"), k, F.lit(" - again\n99999999999 | far\nnone"))
+    reply = F.concat(F.lit("Here are picks:\r\n"), k, F.lit(" | "), F.substring("text", 1, 20), F.lit("\t\r\n\t["), F.col("turn").cast("string"), F.lit("]: quote\n"), k, F.lit(" - again\r99999999999 | far\nnone"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("video_id"), reply.alias("reply"))
 
 
-HOOKS = REPLIES + r""", lin AS (SELECT video_id, unnest(string_split(reply, chr(10))) AS row, unnest(range(len(string_split(reply, chr(10))))) AS line FROM rep),
-fnd AS (SELECT video_id, line, TRY_CAST(regexp_extract(trim(row), '^[\[(\s]*(\d+)[\s|:.)\]\-]+(.+)$', 1) AS INTEGER) AS idx, trim(regexp_extract(trim(row), '^[\[(\s]*(\d+)[\s|:.)\]\-]+(.+)$', 2)) AS reason FROM lin WHERE regexp_matches(trim(row), '^[\[(\s]*(\d+)[\s|:.)\]\-]+(.+)$')),
+HOOKS = f"""{REPLIES}, lin AS (SELECT video_id, trim(unnest(ls), {_WHITE}) AS row, unnest(range(len(ls))) AS line FROM (SELECT video_id, {_LINES.format(x='reply')} AS ls FROM rep)),
+fnd AS (SELECT video_id, line, TRY_CAST(regexp_extract(row, '{T.HOOK}', 1) AS INTEGER) AS idx, trim(regexp_extract(row, '{T.HOOK}', 2), {_WHITE}) AS reason FROM lin WHERE regexp_matches(row, '{T.HOOK}')),
 hks AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY line) - 1 AS pos, idx::BIGINT AS idx, reason FROM (SELECT *, row_number() OVER (PARTITION BY video_id, idx ORDER BY line) AS rn FROM fnd WHERE idx IS NOT NULL) WHERE rn = 1)"""
 
 
@@ -135,12 +143,14 @@ def subtitles_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.subtitles(_chunks(spark, sf_dir), "vtt")
 
 
-@query(f"""WITH {words_sql('conversations')}, {CHUNKS}, f AS (SELECT video_id, unnest(range(0, 6000, 250)) AS t_ms FROM (SELECT DISTINCT video_id FROM wds))
+@query(f"""WITH {words_sql('conversations')}, {CHUNKS}, f AS (SELECT video_id, unnest(range(0, most + 1, 250)) AS t_ms FROM (SELECT video_id, max(end_ms) AS most FROM chk GROUP BY 1))
 SELECT video_id, t_ms, chunk_idx, text FROM (SELECT f.video_id, f.t_ms, c.chunk_idx, c.text, row_number() OVER (PARTITION BY f.video_id, f.t_ms ORDER BY c.chunk_idx) AS rn FROM f JOIN chk c ON c.video_id = f.video_id AND f.t_ms BETWEEN c.start_ms AND c.end_ms) WHERE rn = 1""")
 def active_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5750).cast("bigint"), F.lit(250).cast("bigint")))
-    frames = B.words(spark, sf_dir, source="conversations").select("video_id").distinct().select("video_id", times.alias("t_ms"))
-    return C.active_chunk(frames, _chunks(spark, sf_dir))
+    """The caption at every quarter second up to the end of the video's last one."""
+    chunks = _chunks(spark, sf_dir)
+    times = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most"), F.lit(250).cast("bigint")))
+    frames = chunks.groupBy("video_id").agg(F.max("end_ms").alias("most")).select("video_id", times.alias("t_ms"))
+    return C.active_chunk(frames, chunks)
 
 
 @query(f"""WITH {words_sql('conversations')}, a AS (SELECT video_id, list(text ORDER BY seq) AS ws FROM wds GROUP BY 1),
@@ -198,12 +208,15 @@ def subword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.merge_subwords(head.unionByName(tail))
 
 
-@query("""WITH r AS (SELECT doc_id AS video_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT video_id, unnest(ls) AS x, unnest(range(len(ls))) AS line FROM r),
-t AS (SELECT video_id, line, trim(x) AS text, line * 1000 AS s, CASE WHEN line % 5 = 4 THEN line * 1000 - 1 ELSE line * 1000 + len(x) END AS e FROM l)
+@query(f"""WITH r AS (SELECT doc_id AS video_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT video_id, unnest(ls) AS x, unnest(range(len(ls))) AS line FROM r),
+t AS (SELECT video_id, line, trim(regexp_replace(x, '[\t\r]', ' ', 'g'), {_WHITE}) AS text, line * 1000 AS s, CASE WHEN line % 5 = 4 THEN line * 1000 - 1 ELSE line * 1000 + len(x) END AS e FROM l WHERE line % 7 <> 6)
 SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY line) - 1 AS seq, text, s AS start_ms, e AS end_ms FROM t WHERE text <> '' AND e >= s""")
 def words_parse_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents written as transcript lines, some of them malformed, and parsed again."""
-    lines = F.transform(F.split("text", "\n"), lambda x, k: F.concat(x, F.lit("\t"), (k * 1000).cast("string"), F.lit("\t"), F.when(k % 5 == 4, k * 1000 - 1).otherwise(k * 1000 + F.length(x)).cast("string")))
+    """Lines of documents written as transcript lines with either line end, some of them malformed (a blank before a number too), and parsed again."""
+    number = lambda k: F.when(k % 7 == 6, F.concat(F.lit(" "), (k * 1000).cast("string"))).otherwise((k * 1000).cast("string"))
+    end = lambda x, k: F.when(k % 5 == 4, k * 1000 - 1).otherwise(k * 1000 + F.length(x)).cast("string")
+    line = lambda x, k: F.concat(F.lit(" "), F.regexp_replace(x, "[\t\r]", " "), F.lit("\t"), number(k), F.lit("\t"), end(x, k), F.when(k % 2 == 0, F.lit("\r")).otherwise(F.lit("")))
+    lines = F.transform(F.split("text", "\n", -1), line)
     raw = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.array_join(F.concat(F.array(F.lit("bad-line")), lines, F.array(F.lit("neg\t100\t50"), F.lit("a\tb\tc"))), "\n").alias("raw"))
     return T.parse_tsv(raw)
 

@@ -17,18 +17,24 @@ SCALE_TYPES = {"s": ">h", "S": ">h", "l": ">i", "L": ">i"}
 
 
 def klv(data: bytes, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, str, int, int, int]]:
-    """(path, type, element size, repeat, offset) of each record, parents first. Type 0 holds records."""
-    end = len(data) if end is None else end
-    while start + HEADER <= end:
+    """(path, type, element size, repeat, offset) of each record, parents first. Type 0 holds records, to any depth.
+
+    A record that does not fit ends the scan of those that hold it up to the level where it does not matter.
+    """
+    levels = [(start, len(data) if end is None else end, path)]
+    while levels:
+        start, end, path = levels.pop()
+        if start + HEADER > end:
+            continue
         key, kind, size, repeat = struct.unpack_from(">4scBH", data, start)
         at, length = start + HEADER, size * repeat
         if at + length > end:
-            return
+            continue
         here = f"{path}/{key.decode('ascii', 'replace')}"
         yield here, kind.decode("latin-1"), size, repeat, at
+        levels.append((at + (length + 3) // 4 * 4, end, path))
         if kind == b"\0" and length:
-            yield from klv(data, at, at + length, here)
-        start = at + (length + 3) // 4 * 4
+            levels.append((at, at + length, here))
 
 
 def int16s(data: bytes, at: int, length: int) -> list[int]:
@@ -103,18 +109,18 @@ def marks(data: bytes, path: str = "moov/udta/HMMT") -> list[int]:
 
 def _table_function(rows: DataFrame, names: list[str], schema: str, scan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
         for batch in batches:
-            ids, out = [], []
-            for video, data in zip(batch.column("video_id").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            of, out = [], []
+            for k, data in enumerate(batch.column("bytes").to_pylist()):
                 for row in scan(data or b""):
-                    ids.append(video)
+                    of.append(k)
                     out.append(row)
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns)] if out else [pa.array([], pa.int64()), *[pa.array([], t) for t in _types(schema)]], names=["video_id", *names])
+            values = [pa.array(c, t) for c, t in zip(columns, _types(schema), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id").take(pa.array(of, pa.int32())), *values], names=["video_id", *names])
 
-    return rows.select("video_id", "bytes").mapInArrow(run, f"video_id bigint, {schema}")
+    kind = rows.schema["video_id"].dataType.simpleString()
+    return rows.select("video_id", "bytes").mapInArrow(run, f"video_id {kind}, {schema}")
 
 
 def _types(schema: str) -> list:

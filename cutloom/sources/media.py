@@ -1,7 +1,9 @@
-"""Python data sources: sound from WAV files, frames from raw files, prompts from vector files.
+"""Sound from WAV files, frames from raw files, prompts from vector files.
 
-A file is one partition. Frames are down-sampled while they are read, by the rule of
-``operators.curves.sample_frames``, so that skipped frames never leave the reader.
+``read_wav``, ``read_frames`` and ``read_vectors`` read through Spark's ``binaryFile``, so from any storage that the
+executors reach, and give blocks of bounded size. The Python data sources beside them (``wav``, ``rgbframes``, ``vectors``)
+seek in files instead of loading them and are for paths that every executor has mounted; a file is one partition there.
+Frames are down-sampled while they are read, by the rule of ``operators.curves.sample_frames``, so that skipped frames never leave the reader.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -142,6 +146,75 @@ class VectorSource(DataSource):
         return VectorReader(self.options)
 
 
+BLOCK_SAMPLES = 1 << 16
+
+
+def _files(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    return reader.load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
+def _blocks(files: DataFrame, schema: str, kinds: list, scan) -> DataFrame:
+    """``scan(file, content)`` gives rows; a few of them go out at a time."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file"), batch.column("content"), strict=True):
+                held: list[tuple] = []
+                for row in scan(file.as_py(), content.as_py() or b""):
+                    held.append(row)
+                    if len(held) == 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+    return files.mapInArrow(run, schema)
+
+
+def read_wav(spark: SparkSession, path: str, block: int = BLOCK_SAMPLES, pattern: str | None = "*.wav") -> DataFrame:
+    """file, sample_rate, start, samples (16-bit, at most ``block`` from ``start`` on). No or other sound gives no rows."""
+
+    def scan(file: str, content: bytes) -> Iterator[tuple]:
+        rate, samples = wav_samples(content)
+        for at in range(0, len(samples), block):
+            yield file, rate, at, samples[at : at + block]
+
+    return _blocks(_files(spark, path, pattern), "file string, sample_rate int, start bigint, samples array<smallint>", [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int16())], scan)
+
+
+def read_frames(spark: SparkSession, path: str, step_ms: int = 250, pattern: str | None = "*.rgb") -> DataFrame:
+    """file, i, t_ms, width, height, rgb of the frames that a sampler of ``step_ms`` shows; a cut-off frame ends its file."""
+
+    def scan(file: str, content: bytes) -> Iterator[tuple]:
+        if len(content) < 12:
+            return
+        width, height, n = struct.unpack_from("<III", content)
+        if len(content) < 12 + 8 * n:
+            return
+        times, size = struct.unpack_from(f"<{n}q", content, 12), width * height * 3
+        for i, k in enumerate(due_frames(list(times), step_ms)):
+            rgb = content[12 + 8 * n + k * size : 12 + 8 * n + (k + 1) * size]
+            if len(rgb) == size:
+                yield file, i, times[k], width, height, rgb
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return _blocks(_files(spark, path, pattern), "file string, i bigint, t_ms bigint, width int, height int, rgb binary", kinds, scan)
+
+
+def read_vectors(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """file, prompt (numbered in each file), v of vector files."""
+
+    def scan(file: str, content: bytes) -> Iterator[tuple]:
+        n, dim = struct.unpack_from("<ii", content, 0) if len(content) >= 8 else (0, 0)
+        for k, row in enumerate(np.frombuffer(content, "<f4", n * dim, 8).reshape(n, dim)):
+            yield file, k, row.astype(float).tolist()
+
+    return _blocks(_files(spark, path, pattern), "file string, prompt bigint, v array<double>", [pa.string(), pa.int64(), pa.list_(pa.float64())], scan)
+
+
 def write_vectors(path: str, vectors: np.ndarray) -> None:
     """The file that ``VectorSource`` reads; rows are scaled to length one."""
     v = np.asarray(vectors, np.float32)

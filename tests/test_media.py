@@ -107,13 +107,23 @@ def test_one_euro():
     assert 0 < g(1, 0.033) < 1
 
 
-def test_trajectory():
-    jitter = [(k / 10, 0.5 + (0.02 if k % 2 else -0.02), 0.5, 0.3) for k in range(31)]
-    got = R.trajectory(jitter, [])
-    assert len(got) == 31 and max(abs(x - 0.5) for _, x, _, _ in got[5:]) < 0.02
-    a, b = R.trajectory([(0, 0.1, 0.5, 0.3), (0.1, 0.9, 0.5, 0.3)], [])
-    assert abs(b[1] - a[1]) <= 0.05 + 1e-6
-    assert R.trajectory([], []) == []
+TARGET = "video_id bigint, i bigint, t_sec double, cx double, cy double, size double"
+
+
+def test_trajectory(spark):
+    jitter = [(1, k, k / 10, 0.5 + (0.02 if k % 2 else -0.02), 0.5, 0.3) for k in range(31)]
+    jump = [(2, 0, 0.0, 0.1, 0.5, 0.3), (2, 1, 0.1, 0.9, 0.5, 0.3), (3, 0, 0.0, 0.1, 0.5, 0.3)]
+    cut = [(4, 0, 0.0, 0.5, 0.5, 0.3), (4, 1, 0.1, 0.5, 0.5, 0.05), (4, 2, 0.2, 0.5, 0.5, 0.9), (4, 3, 0.3, 0.5, 0.5, 0.9)]
+    d = spark.createDataFrame(jitter + jump + cut, TARGET)
+    cuts = spark.createDataFrame([(4, 0.15), (4, 0.0), (9, 1.0)], "video_id bigint, cut_sec double")
+    got = {}
+    for r in R.crop_trajectory(d, cuts).orderBy("video_id", "i").collect():
+        got.setdefault(r.video_id, []).append(r)
+    assert len(got[1]) == 31 and max(abs(r.cx - 0.5) for r in got[1][5:]) < 0.02
+    assert abs(got[2][1].cx - got[2][0].cx) <= 0.05 + 1e-6 and 3 not in got
+    # After a cut the size starts from its own sample; before it, it lags behind, and it is never under a tenth.
+    assert got[4][2].size == 0.9 and got[4][1].size > 0.1 and min(r.size for r in got[4]) >= 0.1
+    assert R.crop_trajectory(d.where("false"), cuts).count() == 0
 
 
 def test_crop_lookup(spark):
@@ -259,3 +269,113 @@ def test_catalog(spark):
 
 def test_digest(spark):
     assert spark.range(1).select(F.sha2(F.lit("abc"), 256)).first()[0].startswith("ba7816bf")
+
+
+def test_telemetry_of_any_depth(spark):
+    from cutloom.sources import binary as Y
+
+    data = b"LEAF" + b"l" + bytes([4]) + (1).to_bytes(2, "big") + (7).to_bytes(4, "big")
+    depth = 1500
+    for _ in range(depth):
+        data = b"NEST" + b"\0" + bytes([1]) + len(data).to_bytes(2, "big") + data
+    nodes = list(Y.klv(data))
+    assert len(nodes) == depth + 1 and nodes[-1][0].endswith("/LEAF")
+    rows = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"x")), ("c", None)], "video_id string, bytes binary")
+    got = Y.klv_nodes(rows)
+    assert got.count() == depth + 1 and {r.video_id for r in got.select("video_id").collect()} == {"a"}
+
+
+def test_sql_surface(spark):
+    from cutloom.sources import tables
+
+    tables.register(spark)
+    box = (16).to_bytes(4, "big") + b"ftyp" + b"12345678"
+    node = b"LEAF" + b"l" + bytes([4]) + (1).to_bytes(2, "big") + (7).to_bytes(4, "big")
+    srt = "1\n00:00:01,500 --> 00:00:02,000\nHello\nthere\n\n2\n01:00:00,000 --> 01:00:01,250\nBye\n"
+    spark.createDataFrame([(1, bytearray(box), bytearray(node), srt)], "id int, media binary, telemetry binary, subtitles string").createOrReplaceTempView("files")
+    assert [tuple(r) for r in spark.sql("SELECT b.* FROM files f, LATERAL mp4_boxes(f.media) b").collect()] == [("ftyp", 8, 0, 16)]
+    assert [tuple(r) for r in spark.sql("SELECT n.path, n.repeat FROM files f, LATERAL gpmf_nodes(f.telemetry) n").collect()] == [("/LEAF", 1)]
+    assert [tuple(r) for r in spark.sql("SELECT s.* FROM files f, LATERAL srt_lines(f.subtitles) s ORDER BY cue").collect()] == [(0, 1500, 2000, "Hello\nthere"), (1, 3600000, 3601250, "Bye")]
+    r = spark.sql("SELECT clamped(3, 0, 1) a, robust(5, 0, 10) b, robust(5, 1, 1) c, round(length_preference(2000, 2000, 500), 6) d, timecode(3661001, ',') e").first()
+    assert tuple(r) == (1.0, 0.5, 0.5, 1.0, "01:01:01,001")
+
+
+def test_files_through_binary_file(spark, tmp_path):
+    """Sound in blocks, frames and vectors from any storage that Spark reads."""
+    import struct
+    import wave
+
+    import numpy as np
+
+    from cutloom.sources import media as Q
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(16000)
+        w.writeframes(np.array([[k, k + 1] for k in range(100)], "<i2").tobytes())
+    (tmp_path / "bad.wav").write_bytes(b"none")
+    rows = Q.read_wav(spark, str(tmp_path), block=30).orderBy("start").collect()
+    assert [(r.file, r.sample_rate, r.start, len(r.samples)) for r in rows] == [("a.wav", 16000, k, min(30, 100 - k)) for k in range(0, 100, 30)]
+    assert [x for r in rows for x in r.samples] == list(range(100))
+    frames = struct.pack("<III", 2, 1, 3) + struct.pack("<3q", 0, 100, 300) + bytes(range(18))
+    (tmp_path / "v.rgb").write_bytes(frames)
+    assert [(r.i, r.t_ms, bytes(r.rgb)) for r in Q.read_frames(spark, str(tmp_path)).orderBy("i").collect()] == [(0, 0, bytes(range(6))), (1, 300, bytes(range(12, 18)))]
+    for name in ("x.vec", "y.vec"):
+        Q.write_vectors(str(tmp_path / name), np.eye(2, 3))
+    got = Q.read_vectors(spark, str(tmp_path), "*.vec").collect()
+    assert sorted((r.file, r.prompt) for r in got) == [("x.vec", 0), ("x.vec", 1), ("y.vec", 0), ("y.vec", 1)] and len(got[0].v) == 3
+
+
+def test_installed_models_from_a_listing(spark, tmp_path):
+    from cutloom import dims
+    from cutloom.operators import catalog
+
+    (tmp_path / "yamnet.tflite").write_bytes(b"12345")
+    (tmp_path / "unknown.bin").write_bytes(b"1")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = catalog.installed_models(files.select("path", "length"), dims.models(spark)).collect()
+    assert [(r.id, r.bytes) for r in got] == [("yamnet", 5)]
+
+
+def test_progress(spark):
+    from cutloom.streaming import progress as P
+
+    told = []
+    bands = P.Bands(lambda stage, at: told.append((stage, round(at, 3))))
+    assert bands.tell("analysis", 0.5) == 0.25 and bands.tell("analysis", 2.0) == 0.5
+    rows, seen = P.watched(spark.range(40), "rows")
+    rows.write.format("noop").mode("overwrite").save()
+    assert P.tell_when_done(seen, 80, bands, "transcription") == pytest.approx(0.725)
+    assert bands.tell("analysis", 0.1) == pytest.approx(0.725) and bands.tell("title", 1.0) == 1.0 and told[-1] == ("title", 1.0)
+    assert P.Bands(lambda *_: None, with_words=False).tell("analysis", 0.5) == 0.5
+
+
+def test_folds_start_anew_for_each_key(spark):
+    from cutloom.operators.folds import scan
+
+    def begin():
+        total = 0
+
+        def step(x):
+            nonlocal total
+            total += x
+            return total
+
+        return step
+
+    d = spark.range(1000).selectExpr("id % 7 AS video_id", "id DIV 7 AS i", "1L AS x").repartition(5)
+    got = scan(d, ["i"], ["x"], begin, "n", "bigint")
+    assert got.where("n <> i + 1").count() == 0 and got.count() == 1000
+    assert scan(d.where("false"), ["i"], ["x"], begin, "n", "bigint").count() == 0
+
+
+def test_text_rules(spark):
+    from cutloom.operators import transcript as T
+
+    replies = ["\tTitle: My clip\r\n", " \r\n\n'Second'\r", "", None, "Title:   \u00a0\n** x **"]
+    d = spark.createDataFrame([(k, r) for k, r in enumerate(replies)], "id int, reply string")
+    assert {r.id: r.t for r in d.select("id", T.parse_title(d.reply).alias("t")).collect()} == {0: "My clip", 1: "Second", 2: "", 3: "", 4: "x"}
+    raw = "a\t1\t2\r\nb\t 5\t6\n\tc\t7\t8\rd \t+9\t10\n\t\t\ne\t3\t2\nf\t1\t2\t3"
+    got = T.parse_tsv(spark.createDataFrame([(1, raw)], "video_id bigint, raw string")).orderBy("seq").collect()
+    assert [(r.text, r.start_ms, r.end_ms) for r in got] == [("a", 1, 2), ("d", 9, 10)]

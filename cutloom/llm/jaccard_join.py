@@ -297,10 +297,12 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     settled = spark.createDataFrame([], "root long, n long")
     links: dict[int, int] = {}
     least = depth_for(threshold, target)
-    texts = staged(_texts(docs, classes, candidate_edges(classes, least, f"{at}/all")), f"{at}/texts")
+    all_edges = candidate_edges(classes, least, f"{at}/all")
+    texts = staged(_texts(docs, classes, all_edges), f"{at}/texts")
     depth = LABELS
     while True:
-        clusters = _clusters(candidate_edges(classes, depth, f"{at}/forest-{depth}"), f"{at}/clusters-{depth}")
+        edges = all_edges if depth == least else candidate_edges(classes, depth, f"{at}/forest-{depth}")
+        clusters = _clusters(edges, f"{at}/clusters-{depth}")
         clusters = clusters.join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node")
         size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("n_grams").alias("most_grams"))
         # Shortening only joins clusters, so one of the same root and size has the same texts and, if all of them were compared, is done.

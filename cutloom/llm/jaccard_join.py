@@ -5,12 +5,11 @@ are runs of ``[^\x20\x09-\x0D]``; a text of one to four words has all its words
 
 Forest: each distinct text has a signature of ``TREES * LABELS`` minimum hashes; a tree takes
 ``LABELS`` of them, one byte each, as the path of the text in its trie, kept as one sortable number.
-Texts that share a path's beginning of length x in some tree are candidates. The join starts with the whole
-paths and verifies what they bring together. The similarities of the links found tell how many links a
-length x misses: a link of similarity s is missed with probability ``(1 - s**x)**TREES``. While the misses expected,
-with one unseen link at the threshold added, exceed what the target recall allows, the matched
-beginnings are shortened to the length that suffices for the links found, and the groups that this changes are verified. Where many
-links are as weak as the threshold this ends at ``1 - (1 - s**6)**32``; where all are strong it ends earlier.
+Texts that share a path's beginning of length x in some tree are candidates. A link of similarity s is missed with probability
+``(1 - s**x)**TREES``. The beginnings that find enough links even if all are as weak as the threshold bring texts together first;
+how alike these are, by the labels their signatures share, tells how many links each length would miss. The join takes whole paths
+and shortens them by a label while the misses expected, one unseen link at the threshold included, exceed what the target recall
+allows. Where many links are as weak as the threshold this ends at ``1 - (1 - s**6)**32``; where all are strong it ends earlier.
 
 Verification is exact. Candidates form groups (components of the trie nodes). All texts of a small group are
 compared with each other. A larger one is cut into blocks of ``BLOCK`` texts, and either all its blocks are compared, or
@@ -53,11 +52,13 @@ BLOCK = 512
 BLOCK_GRAMS = 3_000_000
 #: Links are counted by similarity in so many steps from the threshold to 1.
 STEPS = 40
+#: How far below the threshold an estimate still counts: a standard deviation.
+MARGIN = 0.025
 SPREADS = 2
 #: What names a pair of blocks: its cluster, the trie node if only a node's texts are compared (else -1, 0), and the blocks.
 PAIR = ["cluster", "tree", "path", "low", "high"]
 DENSE_FROM = 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _P1, _P2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,19 +68,38 @@ def depth_for(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees
 
 
 def missed(depth: int, links: dict[int, int], threshold: float = THRESHOLD, trees: int = TREES) -> float:
-    """Links expected to be missed by beginnings of this length, given those found by step of similarity.
+    """Links expected to be missed by beginnings of this length, of links by step of similarity.
 
     A step counts as its lower end, and one more link at the threshold is taken to exist.
     """
-    total = 0.0
-    for step, n in {**links, 0: links.get(0, 0) + 1}.items():
-        seen = 1 - (1 - (threshold + step * (1 - threshold) / STEPS) ** depth) ** trees
-        total += n * (1 - seen) / seen
-    return total
+    of = lambda step: (1 - (threshold + step * (1 - threshold) / STEPS) ** depth) ** trees
+    return of(0) + sum(n * of(step) for step, n in links.items())
 
 
 def suffices(depth: int, links: dict[int, int], threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES) -> bool:
-    return missed(depth, links, threshold, trees) <= (1 - target) * max(sum(links.values()), 1)
+    return missed(depth, links, threshold, trees) <= (1 - target) * (1 + sum(links.values()))
+
+
+def likely_links(edges: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> dict[int, int]:
+    """Pairs of a text and the first of its node that are probably links, by step of similarity, as their signatures estimate it.
+
+    Estimates a little below the threshold count as links at it.
+    """
+    side = lambda c: classes.select(F.col("class_no").alias(c), F.col("paths").alias(f"paths_{c}"))
+    pairs = edges.distinct().join(side("a"), "a").join(side("b"), "b").select("paths_a", "paths_b")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(STEPS + 1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (batch.column(c).flatten().to_numpy().view(np.uint8).reshape(batch.num_rows, -1) for c in ("paths_a", "paths_b"))
+                alike = ((left == right).mean(1) - 1 / 256) / (1 - 1 / 256)
+                steps = np.floor((alike[alike >= threshold - MARGIN] - threshold) / (1 - threshold) * STEPS + 1e-9)
+                total += np.bincount(np.clip(steps, 0, STEPS).astype(np.int64), minlength=STEPS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1, dtype=np.int32)), pa.array(total)], names=["step", "n"])
+
+    got = pairs.mapInArrow(count, "step int, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    return {r["step"]: r["n"] for r in got.collect() if r["n"]}  # at most STEPS + 1 rows
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -227,7 +247,7 @@ def component_roots(linked: np.ndarray, same: bool) -> np.ndarray:
 def compare(texts: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
     """``texts`` (*PAIR, side, class_no, copies, text, paths) -> class_no, n_texts, n_links, joined_to, per pair of blocks.
 
-    Where a tree is named, pairs that an earlier tree brings together at ``depth`` don't count. Rows without a class tell by ``n_texts`` the step of similarity and by ``n_links`` the number of links there.
+    Where a tree is named, pairs that an earlier tree brings together at ``depth`` don't count.
     Rows must come sorted by pair and side within their partition; one pair of blocks is held at a time.
     """
     schema = "class_no long, n_texts long, n_links long, joined_to long"
@@ -241,7 +261,7 @@ def compare(texts: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataF
             if same:
                 right = left
             sides = [[x[0] for x in left], [x[0] for x in right]]
-            linked, similar = count_links([x[2] for x in left], [x[2] for x in right], same, threshold)
+            linked, _ = count_links([x[2] for x in left], [x[2] for x in right], same, threshold)
             if key[1] > 0:
                 ways = [np.array([x[3][: key[1]] for x in side], np.int64) >> (8 * (LABELS - depth)) for side in (left, right)]
                 for a, b in zip(ways[0].T, ways[1].T, strict=True):
@@ -257,16 +277,10 @@ def compare(texts: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataF
             n_links[offset : offset + len(sides[1])] += linked.T @ copies[0]
             roots = component_roots(linked, same)
             keep = np.flatnonzero(n_texts).tolist()
-            steps = np.clip(np.floor((similar[linked] - threshold) / (1 - threshold) * STEPS + 1e-4), 0, STEPS).astype(np.int64)
-            step, many = np.unique(steps, return_counts=True)
-            none = [None] * len(step)
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([nodes[k] for k in keep] + none, pa.int64()), pa.array(np.concatenate([n_texts[keep], step])),
-                    pa.array(np.concatenate([n_links[keep], many])), pa.array([nodes[roots[k]] for k in keep] + none, pa.int64()),
-                ],
+                [pa.array([nodes[k] for k in keep], pa.int64()), pa.array(n_texts[keep]), pa.array(n_links[keep]), pa.array([nodes[roots[k]] for k in keep], pa.int64())],
                 names=["class_no", "n_texts", "n_links", "joined_to"],
-            )
+            )
 
         for batch in batches:
             for *pair, side, no, copies, text, ways in zip(*(batch.column(c).to_pylist() for c in (*PAIR, "side", "class_no", "copies", "text", "paths")), strict=True):
@@ -293,35 +307,17 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     classes = signed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"), F.first("paths").alias("paths"), F.first("n_grams").alias("n_grams"))
     classes = staged(classes.withColumn("class_no", F.monotonically_increasing_id()), f"{at}/classes")
 
-    compared = spark.createDataFrame([], "depth int, class_no long, n_texts long, n_links long, joined_to long")
-    settled = spark.createDataFrame([], "root long, n long")
-    links: dict[int, int] = {}
     least = depth_for(threshold, target)
-    all_edges = candidate_edges(classes, least, f"{at}/all")
-    texts = staged(_texts(docs, classes, all_edges), f"{at}/texts")
-    depth = LABELS
-    while True:
-        edges = all_edges if depth == least else candidate_edges(classes, depth, f"{at}/forest-{depth}")
-        clusters = _clusters(edges, f"{at}/clusters-{depth}")
-        clusters = clusters.join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node")
-        size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("n_grams").alias("most_grams"))
-        # Shortening only joins clusters, so one of the same root and size has the same texts and, if all of them were compared, is done.
-        size = staged(size.join(settled, ["root", "n"], "left_anti"), f"{at}/sizes-{depth}")
-        members = staged(_blocks(clusters.select("root", "node").join(size, "root")), f"{at}/members-{depth}")
-        by_node = staged(_by_node(members, classes, depth), f"{at}/by-node-{depth}")
-        found = staged(compare(_pairs(texts, classes, members, by_node, depth), depth, threshold), f"{at}/compared-{depth}")
-        settled = settled.unionAll(size.join(by_node.withColumnRenamed("cluster", "root"), "root", "left_anti").select("root", "n"))
-        compared = compared.unionAll(found.where("class_no IS NOT NULL").select(F.lit(depth).alias("depth"), *found.columns))
-        for step, n in found.where("class_no IS NULL").groupBy("n_texts").agg(F.sum("n_links")).collect():  # at most STEPS + 1 rows
-            links[step] = links.get(step, 0) + n
-        if depth <= least or suffices(depth, links, threshold, target):
-            break
-        depth = next((d for d in range(depth - 1, least, -1) if suffices(d, links, threshold, target)), least)
-
-    # A text's links of its last verification count; they contain those of the verifications before.
-    counts = compared.groupBy("class_no", "depth").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
-    counts = counts.groupBy("class_no").agg(F.min_by(F.struct("n_texts", "n_links"), "depth").alias("last")).select("class_no", "last.*")
-    linked = staged(components(compared.select(F.col("class_no").alias("a"), F.col("joined_to").alias("b")), f"{at}/links"), f"{at}/linked")
+    edges = candidate_edges(classes, least, f"{at}/forest-{least}")
+    texts = staged(_texts(docs, classes, edges), f"{at}/texts")
+    links = likely_links(edges, classes, threshold)
+    depth = next((d for d in range(LABELS, least, -1) if suffices(d, links, threshold, target)), least)
+    if depth > least:
+        edges = candidate_edges(classes, depth, f"{at}/forest-{depth}")
+    members = staged(_blocks(_clusters(edges, f"{at}/clusters").join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node")), f"{at}/members")
+    compared = staged(compare(_pairs(texts, classes, members, staged(_by_node(members, classes, depth), f"{at}/by-node"), depth), depth, threshold), f"{at}/compared")
+    counts = compared.groupBy("class_no").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
+    linked = staged(_clusters(compared.select(F.col("class_no").alias("a"), F.col("joined_to").alias("b")), f"{at}/links"), f"{at}/linked")
     found = classes.select("class_no", "digest", "copies", "copy_id").join(linked.select(F.col("node").alias("class_no"), F.col("root").alias("group")), "class_no", "left")
     return signed.select("doc_id", "digest"), found.join(counts, "class_no", "left").drop("class_no")
 
@@ -428,17 +424,15 @@ def _texts(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("class_no", "copies", "text").withColumn("nth", F.row_number().over(Window.partitionBy("class_no").orderBy(F.lit(1)))).where("nth = 1").drop("nth")
 
 
-def _is_small(n: Column, most_grams: Column) -> Column:
-    return (n <= BLOCK) & (n * most_grams <= BLOCK_GRAMS)
-
-
 def _blocks(clusters: DataFrame) -> DataFrame:
-    """``clusters`` (root, node, n, most_grams) -> cluster, class_no, block.
+    """``clusters`` (root, node, n_grams) -> cluster, class_no, block.
 
     A small cluster is one block. The texts of larger ones are sorted by range, which may spread a cluster over many
     partitions, and cut into runs.
     """
-    small = _is_small(F.col("n"), F.col("most_grams"))
+    size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("n_grams").alias("most_grams"))
+    clusters = clusters.select("root", "node").join(size, "root")
+    small = (F.col("n") <= BLOCK) & (F.col("n") * F.col("most_grams") <= BLOCK_GRAMS)
     one = clusters.where(small).select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), F.lit(0).cast("long").alias("block"))
     run = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_GRAMS) / F.greatest(F.col("most_grams"), F.lit(1)))))
     more = clusters.where(~small).repartitionByRange("root", "node").sortWithinPartitions("root", "node").withColumn("place", F.monotonically_increasing_id())

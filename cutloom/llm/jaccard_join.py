@@ -48,7 +48,7 @@ TREES = 32
 LABELS = 8
 TARGET_RECALL = 0.9999
 #: A block has at most so many texts and about so many grams.
-BLOCK = 512
+BLOCK = 2048
 BLOCK_GRAMS = 3_000_000
 #: Links are counted by similarity in so many steps from the threshold to 1.
 STEPS = 40
@@ -81,12 +81,12 @@ def suffices(depth: int, links: dict[int, int], threshold: float = THRESHOLD, ta
 
 
 def likely_links(edges: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> dict[int, int]:
-    """Pairs of a text and the first of its node that are probably links, by step of similarity, as their signatures estimate it.
+    """Pairs of a text and the least first text of its nodes that are probably links, by step of similarity, as their signatures estimate it.
 
-    Estimates a little below the threshold count as links at it.
+    Each text of a node counts once. Estimates a little below the threshold count as links at it.
     """
     side = lambda c: classes.select(F.col("class_no").alias(c), F.col("paths").alias(f"paths_{c}"))
-    pairs = edges.distinct().join(side("a"), "a").join(side("b"), "b").select("paths_a", "paths_b")
+    pairs = edges.groupBy("a").agg(F.min("b").alias("b")).join(side("a"), "a").join(side("b"), "b").select("paths_a", "paths_b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(STEPS + 1, np.int64)
@@ -475,10 +475,15 @@ def _pairs(texts: DataFrame, classes: DataFrame, members: DataFrame, by_node: Da
     held = nodes.groupBy("cluster", "tree", "path", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster", "tree", "path")
     parts = _paired(held.agg(listed), ["cluster", "tree", "path"]).where("low < high OR low_n > 1").select(*PAIR)
 
-    def sides(pairs: DataFrame) -> DataFrame:
+    def sides(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        """Per block, the pairs it takes part in and on which side."""
         rows = pairs.select("*", F.explode(F.when(F.col("low") < F.col("high"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
-        return rows.select("*", F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")).alias("block"))
-
-    asked = members.join(sides(whole), ["cluster", "block"]).select(*PAIR, "side", "class_no", F.lit(None).cast("array<long>").alias("paths"))
-    asked = asked.unionAll(nodes.join(sides(parts), ["cluster", "tree", "path", "block"]).select(*PAIR, "side", "class_no", "paths"))
-    return asked.join(texts, "class_no").repartition(*PAIR).sortWithinPartitions(*PAIR, "side", "class_no")
+        rows = rows.select(*keys, F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")).alias("block"), F.struct(*PAIR, "side").alias("pair"))
+        return rows.groupBy(*keys, "block").agg(F.collect_list(F.struct("pair.*")).alias("pairs"))
+
+    asked = members.join(sides(whole, ["cluster"]).withColumnRenamed("cluster", "of").withColumnRenamed("block", "at"), (F.col("cluster") == F.col("of")) & (F.col("block") == F.col("at")))
+    asked = asked.select("class_no", "pairs", F.lit(None).cast("array<long>").alias("paths"))
+    within = nodes.join(sides(parts, ["cluster", "tree", "path"]), ["cluster", "tree", "path", "block"]).select("class_no", "pairs", "paths")
+    # A text meets the list of its pairs, and only then is repeated.
+    found = asked.unionAll(within).join(texts, "class_no").select(F.explode("pairs").alias("pair"), "class_no", "copies", "text", "paths").select("pair.*", "class_no", "copies", "text", "paths")
+    return found.repartition(*PAIR).sortWithinPartitions(*PAIR, "side", "class_no")

@@ -328,15 +328,14 @@ def _clusters(edges: DataFrame, at: str) -> DataFrame:
     Texts and nodes first tell each other the least number they know, ``SPREADS`` times, which settles most components;
     the numbers that still meet in a node are joined as a graph of their own, which is far smaller than that of all texts.
     """
-    rows = edges.unionAll(edges.select("b", "b")).distinct()
-    known = rows.join(rows.groupBy("a").agg(F.min("b").alias("l")), "a")
+    known = edges.unionAll(edges.select("b", "b")).distinct()
+    # A node's rows, three numbers each, are sorted in one task, which spills; nothing is joined.
+    of_text, of_node = Window.partitionBy("a"), Window.partitionBy("b")
+    known = known.withColumn("l", F.min("b").over(of_text))
     for _ in range(SPREADS):
-        of_nodes = known.groupBy("b").agg(F.min("l").alias("n"))
-        of_texts = known.select("a", "b").join(of_nodes, "b").groupBy("a").agg(F.min("n").alias("l"))
-        known = rows.join(of_texts, "a")
+        known = known.withColumn("n", F.min("l").over(of_node)).withColumn("l", F.min("n").over(of_text)).drop("n")
     known = staged(known, f"{at}/known")
-    of_nodes = known.groupBy("b").agg(F.min("l").alias("n"))
-    among = known.join(of_nodes, "b").where("l <> n").select(F.col("l").alias("a"), F.col("n").alias("b")).distinct()
+    among = known.withColumn("n", F.min("l").over(of_node)).where("l <> n").select(F.col("l").alias("a"), F.col("n").alias("b")).distinct()
     roots = components(among, f"{at}/heads")
     found = known.select(F.col("a").alias("node"), F.col("l").alias("head")).distinct()
     found = found.join(roots.select(F.col("node").alias("head"), F.col("root").alias("top")), "head", "left").select("node", F.coalesce("top", "head").alias("top"))

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import made_table, shared_dir, small_batches, staged
+from cutloom.llm.common import freed, made_table, shared_dir, small_batches, staged
 
 UNIT = 64
 CUT_BITS = 12
@@ -225,7 +225,8 @@ class ChunkStore:
         meant = sent.join(owners, "payload_digest").sortWithinPartitions("payload_digest")
         fresh = meant.mapInArrow(store, "payload_digest binary, digests array<binary>, packed array<binary>, shared boolean")
         name = made_table(f"cutloom_chunks_{self.tag}_{many}")
-        fresh.write.partitionBy("shared").bucketBy(self.buckets, "payload_digest").option("path", f"{self.at}/{name}").format("parquet").saveAsTable(name)
+        with freed(self.spark):
+            fresh.select("*").write.partitionBy("shared").bucketBy(self.buckets, "payload_digest").option("path", f"{self.at}/{name}").format("parquet").saveAsTable(name)
         self.tables.append(name)
 
     def read_back(self, recipe: DataFrame) -> DataFrame:

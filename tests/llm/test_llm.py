@@ -9,6 +9,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -593,6 +594,22 @@ def test_own_counts_are_taken_away():
         assert (without.follows[k][1][without.row][1:] == -1).all() and (withal.follows[k][1][withal.row][1:] >= 0).any()
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    from cutloom.llm.common import FREES_SHUFFLES, staged
+
+    def left():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, kept = spark.conf.get(FREES_SHUFFLES, "false"), left()
+    rows = staged(spark.range(1000).repartition(3, "id"), f"{shared_dir(spark)}/rows")
+    until = time.time() + 20  # they go in the background
+    while left() - kept and time.time() < until:
+        time.sleep(0.1)
+    assert left() <= kept and spark.conf.get(FREES_SHUFFLES, "false") == before
+    assert rows.count() == 1000
+
+
 def test_numbers_are_packed_and_unpacked():
     names = np.array([0, 1, 70_000, 1 << 31, (1 << 32) - 1], np.uint32)
     assert (lm_scoring.unpacked(lm_scoring.packed(names)) == names).all()

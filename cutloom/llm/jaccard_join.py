@@ -314,7 +314,7 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     depth = next((d for d in range(LABELS, least, -1) if suffices(d, links, threshold, target)), least)
     if depth > least:
         edges = candidate_edges(classes, depth, f"{at}/forest-{depth}")
-    members = staged(_blocks(_clusters(edges, f"{at}/clusters").join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node")), f"{at}/members")
+    members = staged(_blocks(_clusters(edges, f"{at}/clusters").join(classes.select(F.col("class_no").alias("node"), "n_grams"), "node"), f"{at}/placed"), f"{at}/members")
     compared = staged(compare(_pairs(texts, classes, members, staged(_by_node(members, classes, depth), f"{at}/by-node"), depth), depth, threshold), f"{at}/compared")
     counts = compared.groupBy("class_no").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
     linked = staged(_clusters(compared.select(F.col("class_no").alias("a"), F.col("joined_to").alias("b")), f"{at}/links"), f"{at}/linked")
@@ -423,11 +423,12 @@ def _texts(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("class_no", "copies", "text").withColumn("nth", F.row_number().over(Window.partitionBy("class_no").orderBy(F.lit(1)))).where("nth = 1").drop("nth")
 
 
-def _blocks(clusters: DataFrame) -> DataFrame:
+def _blocks(clusters: DataFrame, at: str) -> DataFrame:
     """``clusters`` (root, node, n_grams) -> cluster, class_no, block.
 
     A small cluster is one block. The texts of larger ones are sorted by range, which may spread a cluster over many
-    partitions, and cut into runs.
+    partitions, numbered on from one partition to the next, and cut into runs; so the number of blocks follows from the
+    cluster alone, however many partitions there are.
     """
     size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("n_grams").alias("most_grams"))
     clusters = clusters.select("root", "node").join(size, "root")
@@ -435,9 +436,13 @@ def _blocks(clusters: DataFrame) -> DataFrame:
     one = clusters.where(small).select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), F.lit(0).cast("long").alias("block"))
     run = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_GRAMS) / F.greatest(F.col("most_grams"), F.lit(1)))))
     more = clusters.where(~small).repartitionByRange("root", "node").sortWithinPartitions("root", "node").withColumn("place", F.monotonically_increasing_id())
-    # The place has the partition in its high bits; runs are numbered within a partition.
-    part, local = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    more = more.select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), (F.shiftleft(part, 33) + F.floor(local / run)).alias("block"))
+    # The place has the partition in its high bits.
+    more = staged(more.select("root", "node", run.alias("run"), F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("local")), at)
+    parts = more.groupBy("root", "part").agg(F.min("local").alias("first"), F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("root", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    number = F.col("local") + F.col("shift")
+    more = more.join(parts, ["root", "part"]).select(F.col("root").alias("cluster"), F.col("node").alias("class_no"), F.floor(number / F.col("run")).cast("long").alias("block"))
     return one.unionAll(more)
 
 

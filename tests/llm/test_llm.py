@@ -701,6 +701,22 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(brute_links(source))
 
 
+def test_blocks_follow_from_the_cluster_alone(spark, monkeypatch):
+    """A large cluster that lies over many partitions has no more blocks than its texts fill."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    wide = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wide}
+    for key, value in wide.items():
+        spark.conf.set(key, value)
+    try:
+        clusters = spark.createDataFrame([(1000 * c, 1000 * c + k, 20) for c, n in ((0, 41), (1, 24), (2, 5)) for k in range(n)], "root bigint, node bigint, n_grams int")
+        got = jaccard_join._blocks(clusters, f"{shared_dir(spark)}/placed").groupBy("cluster", "block").count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {c: sorted(r["count"] for r in got if r.cluster == c) for c in (0, 1000, 2000)} == {0: [1, 8, 8, 8, 8, 8], 1000: [8, 8, 8], 2000: [5]}
+
+
 def test_near_duplicates_in_empty_blocks(spark, monkeypatch):
     """About as many blocks as texts, so that some blocks hold several texts and others none."""
     monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 300)

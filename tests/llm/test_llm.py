@@ -594,6 +594,19 @@ def test_own_counts_are_taken_away():
         assert (without.follows[k][1][without.row][1:] == -1).all() and (withal.follows[k][1][withal.row][1:] >= 0).any()
 
 
+def test_spelling_counts_are_whole_when_tasks_meet(spark):
+    """Counts of more than a state holds are added up as they are; how the words lie in tasks decides nothing."""
+    words = [(b"zz1", 1000), (b"zz2", 300)]
+    of_bytes = [0] * 256
+    for w, n in words:
+        for b in w + b" ":
+            of_bytes[b] += n
+    codes = spark.sparkContext.broadcast(cm.Codes([b"a"], [5], 1300, of_bytes))
+    learn = spark.createDataFrame(words, "word binary, n bigint")
+    apart = lm_scoring.count_spellings(learn.repartitionByRange(2, "n"), codes)
+    assert (apart == lm_scoring.count_spellings(learn.coalesce(1), codes)).all()
+
+
 def test_staged_tables_leave_no_shuffle_files(spark):
     from cutloom.llm.common import FREES_SHUFFLES, staged
 

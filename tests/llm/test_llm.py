@@ -584,6 +584,21 @@ def test_followers_are_merged_by_sums():
     assert names.tolist() == [9, 1, 5] and times.tolist() == [4, 2, 1]
 
 
+def test_equal_numbers_are_put_together(monkeypatch):
+    """Without sorting places; also where hashes are cut to the same bits, and nothing is lost where ranks are equal."""
+    x = np.random.default_rng(3).integers(0, 300, 5000)
+    want, first, many = np.unique(x, return_index=True, return_counts=True)
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(cm, "mixed", lambda v: v & np.uint64(1))
+        order, starts = cm.ordered(x)
+        held = order[starts]
+        assert dict(zip(x[held].tolist(), zip(held.tolist(), np.diff(starts, append=len(x)).tolist()))) == dict(zip(want.tolist(), zip(first.tolist(), many.tolist())))
+    order, starts = cm.ordered(x, (x % 7).astype(np.uint64))
+    assert sorted(order.tolist()) == list(range(5000)) and all(len(set(p.tolist())) == 1 for p in np.split(x[order], starts[1:]))
+    assert [len(v) for v in cm.ordered(x[:0])] == [0, 0]
+
+
 def test_own_counts_are_taken_away():
     """What only the text itself has shown is unseen in learning; the beginning of a text it shares with others."""
     text = [f"x{k}".encode() for k in range(50)]

@@ -149,3 +149,13 @@ def test_joins_that_grow_with_recordings_are_no_broadcasts(spark, sf):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     for df in (E.boost_fuse(spark, sf), E.interval_mean_p90(spark, sf), E.units_cine(spark, sf), E.greedy_select(spark, sf), E.edl("cine", spark, sf), D.duck_raw(spark, sf), B.zipped_signals(spark, sf)):
         assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
+
+
+def test_queries_of_whole_edits_hold_no_broadcasts(spark, sf):
+    """The same of the queries on scores, choices and edits."""
+    from cutloom.plans import editing as E
+    from cutloom.plans import ingest as I
+
+    for of in (E.edit_variants, E.edl_duration, E.timeline_delete, E.unit_score, E.cosine_similarity, I.entry_frame_times, I.edl_row_labels):
+        plan = of(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan, of

@@ -609,6 +609,30 @@ def test_own_counts_are_taken_away():
         assert (without.follows[k][1][without.row][1:] == -1).all() and (withal.follows[k][1][withal.row][1:] >= 0).any()
 
 
+def test_beginnings_are_worked_out_once():
+    """Counts and probabilities of words that share beginnings are those of each word alone, in any order and of any length."""
+    rng = random.Random(5)
+    words = [bytes(rng.choices(b"ab\x00\xc3", k=rng.randrange(1, 9))) for _ in range(400)]
+    words = [*{*words, b"", b"a" * 23, b"a" * 24, b"a" * 25, b"a" * 40 + b"b", b"a" * 40 + b"c", b"long" * 40_000, b"long" * 40_000 + b"x"}, b"again", b"again"]
+    rng.shuffle(words)
+    times = np.array([rng.randrange(1, 50) for _ in words])
+    codes = cm.Codes([b"w"], [5], 400, [sum(w.count(b) for w in words) for b in range(256)])
+    together = np.zeros((cm.BYTE_INPUTS, 1 << 12, 2), np.uint32)
+    cm.ByteModel.count(words, times, codes, together)
+    apart = np.zeros_like(together)
+    for w, n in zip(words, times, strict=True):
+        cm.ByteModel.count([w], np.array([n]), codes, apart)
+    assert (together == apart).all()
+    turns, learner = cm.states_of(together), cm.Learner(cm.ByteModel.mixer())
+    cm.ByteModel.learn(learner, words, times, codes, turns)
+    of = lambda some: cm.ByteModel.log_probabilities(learner.mixer, some, codes, turns)
+    assert of(words) == pytest.approx(np.concatenate([of([w]) for w in words]), rel=1e-6)
+    assert len(of([])) == 0
+    few = sorted(w for w in words if len(w) < 9)
+    worked_out = {x for b in cm.spelling_of(cm.Beginnings(few), codes, 12) for x in zip(b.word.tolist(), b.place.tolist())}
+    assert len(worked_out) == len({(w + b" ")[: k + 1] for w in few for k in range(len(w) + 1)})
+
+
 def test_spelling_counts_are_whole_when_tasks_meet(spark):
     """Counts of more than a state holds are added up as they are; how the words lie in tasks decides nothing."""
     words = [(b"zz1", 1000), (b"zz2", 300)]

@@ -646,6 +646,22 @@ def test_spelling_counts_are_whole_when_tasks_meet(spark):
     assert (apart == lm_scoring.count_spellings(learn.coalesce(1), codes)).all()
 
 
+def test_texts_are_learned_from_once(spark):
+    """Each task's part is learned from a single time, and how the tasks' weights come to the driver decides nothing."""
+    calls = spark.sparkContext.accumulator(0)
+    text = [f"w{k}".encode() for k in range(30)] + [lm_scoring.END]
+    codes, states, *_ = lm_model([text, text[::-1]], 12, 60)
+    rows = spark.createDataFrame([(lm_scoring.packed(codes.names(text[:n])),) for n in (31, 20, 9)], "names binary")
+
+    def teach(learner, batches):
+        calls.add(1)
+        cm.WordModel.learn(learner, lm_scoring._texts(batches), codes, states)
+
+    got = [lm_scoring.learned(rows.repartitionByRange(n, "names"), cm.WordModel.mixer, teach) for n in (3, 3)]
+    assert calls.value == 6
+    assert (got[0].met == got[1].met).all() and (got[0].by_depth == got[1].by_depth).all() and got[0].met.sum() > 0
+
+
 def test_staged_tables_leave_no_shuffle_files(spark):
     from cutloom.llm.common import FREES_SHUFFLES, staged
 

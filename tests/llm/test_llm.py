@@ -13,6 +13,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -646,6 +647,33 @@ def test_spelling_counts_are_whole_when_tasks_meet(spark):
     assert (apart == lm_scoring.count_spellings(learn.coalesce(1), codes)).all()
 
 
+def test_words_are_those_of_a_plain_split():
+    """Only the white space of the contract parts words, only A-Z are lower-cased, and null and blank texts have their end alone."""
+    odd = "".join(map(chr, [*range(0x0, 0x300), 0x1680, 0x2028, 0x3000, 0x1F600]))
+    texts = ["A b\tB\x0bc\x0c\rD\n", None, "", " \n ", "  x X  ", odd, odd[::-1], "\u0130I\x1c\x85\xa0z"]
+    words, numbers, sizes = lm_scoring.words_of(pa.array(["cut", *texts], pa.string())[1:])
+    words = words.to_pylist()
+    want = [[*re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()).split(), lm_scoring.END] for t in texts]
+    assert [[words[i] for i in part] for part in np.split(numbers, np.cumsum(sizes)[:-1])] == want
+    assert all(re.findall(rb"[^\x20\x09-\x0D]+", b" ".join(w[:-1])) == w[:-1] for w in want) and len(set(words)) == len(words)
+    assert [len(x) for x in lm_scoring.words_of(pa.array([], pa.string()))[1:]] == [0, 0]
+
+
+def test_token_counts_are_summed_over_flushes(spark, monkeypatch):
+    """Counts that are sent in parts are those of all training tokens; words of held-out texts alone come with 0."""
+    docs = [(f"a b{k % 7} c{k}", k % 5 == 0) for k in range(60)]
+    rows = spark.createDataFrame([*docs, (None, False)], "text string, held_out boolean").repartition(2)
+    want = collections.Counter(w for t, out in docs if not out for w in t.encode().split())
+    want.update({lm_scoring.END: 49} | {w: 0 for t, _ in docs for w in t.encode().split()})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for flush in (lm_scoring.FLUSH_AT, 3):
+            monkeypatch.setattr(lm_scoring, "FLUSH_AT", flush)
+            assert {bytes(r.word): r.n for r in lm_scoring.count_tokens(rows, 3).collect()} == dict(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_texts_are_learned_from_once(spark):
     """Each task's part is learned from a single time, and how the tasks' weights come to the driver decides nothing."""
     calls = spark.sparkContext.accumulator(0)

@@ -659,6 +659,18 @@ def test_words_are_those_of_a_plain_split():
     assert [len(x) for x in lm_scoring.words_of(pa.array([], pa.string()))[1:]] == [0, 0]
 
 
+def test_words_are_listed_as_they_are():
+    words = pa.array([b"cut", b"", b"a", b"\xc3\xa9\x00", b"", b"long" * 1000], pa.binary())
+    for part in (words, words[1:], words[2:4], words[:0], words[6:], pa.array([], pa.binary())):
+        assert lm_scoring.listed(part) == part.to_pylist()
+
+
+def test_spelled_words_are_joined_without_sorting(spark, sf):
+    """Words meet their spellings by hash."""
+    plan = queries.op7_lm_scoring(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [word" in plan and "SortMergeJoin [word" not in plan
+
+
 def test_token_counts_are_summed_over_flushes(spark, monkeypatch):
     """Counts that are sent in parts are those of all training tokens; words of held-out texts alone come with 0."""
     docs = [(f"a b{k % 7} c{k}", k % 5 == 0) for k in range(60)]

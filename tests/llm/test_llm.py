@@ -585,6 +585,28 @@ def test_followers_are_merged_by_sums():
     assert names.tolist() == [9, 1, 5] and times.tolist() == [4, 2, 1]
 
 
+def test_merged_followers_equal_plain_sums():
+    """Also of many counts, of one, and of sums that four bytes do not hold."""
+    rng = np.random.default_rng(4)
+    for rows, most in ((1, 9), (2, 9), (16, 3), (3, 1 << 32)):
+        names, times = rng.integers(0, 4, (rows, 500)).astype(np.uint32), rng.integers(0, most, (rows, 500)).astype(np.uint32)
+        got = cm.merged_followers(names, times)
+        for name, n, ns, ts in zip(*got, names.T.tolist(), times.T.tolist(), strict=True):
+            sums = collections.Counter()
+            for x, t in zip(ns, ts):
+                sums[x] += t
+            assert (n, name) == max((min(t, (1 << 32) - 1), x) for x, t in sums.items())
+
+
+def test_codes_begin_alike_as_far_as_their_bits():
+    codes = ["0" * k + "1" for k in range(70)] + ["0" * 70]
+    tree, (leaf, other) = cm.Tree(codes), np.random.default_rng(2).integers(0, 71, (2, 3000))
+    alike = [min(next((k for k, (a, b) in enumerate(zip(codes[i], codes[j])) if a != b), min(len(codes[i]), 53)), 53) for i, j in zip(leaf, other)]
+    assert tree.agree(leaf, other).tolist() == alike
+    node, turn, depth = tree.ways(np.arange(len(tree.node)))
+    assert (node == tree.node).all() and (turn == tree.turn).all() and (depth == np.minimum(tree.depth, 31)).all()
+
+
 def test_equal_numbers_are_put_together(monkeypatch):
     """Without sorting places; also where hashes are cut to the same bits, and nothing is lost where ranks are equal."""
     x = np.random.default_rng(3).integers(0, 300, 5000)

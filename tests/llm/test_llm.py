@@ -693,6 +693,21 @@ def test_spelled_words_are_joined_without_sorting(spark, sf):
     assert "ShuffledHashJoin [word" in plan and "SortMergeJoin [word" not in plan
 
 
+def test_words_come_many_at_a_time(monkeypatch):
+    """All words in order with their counts, from small batches; fewer at a time if they are long."""
+    words = [b"w%d" % k for k in range(95)] + [b"long" * 50] * 5
+    batches = [pa.RecordBatch.from_arrays([pa.array(words[k : k + 5], pa.binary()), pa.array(range(k, k + 5), pa.int64())], names=["word", "n"]) for k in range(0, 100, 5)]
+    for rows, size, want in ((30, 1 << 20, [30, 30, 30, 10]), (1000, 1 << 20, [100]), (30, 100, [])):
+        monkeypatch.setattr(lm_scoring, "SPELL_ROWS", rows)
+        monkeypatch.setattr(lm_scoring, "SPELL_BYTES", size)
+        got = list(lm_scoring._words_of(iter([batches[0][:0], *batches])))
+        assert [w for ws, _, _ in got for w in ws] == words and [n for _, ns, _ in got for n in ns.tolist()] == list(range(100))
+        assert all(part.column("word").to_pylist() == ws for ws, _, part in got)
+        assert size == 100 or [len(ws) for ws, _, _ in got] == want
+        assert size > 100 or max(len(ws) for ws, _, _ in got) < 30
+    assert not list(lm_scoring._words_of(iter([])))
+
+
 def test_token_counts_are_summed_over_flushes(spark, monkeypatch):
     """Counts that are sent in parts are those of all training tokens; words of held-out texts alone come with 0."""
     docs = [(f"a b{k % 7} c{k}", k % 5 == 0) for k in range(60)]
